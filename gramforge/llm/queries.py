@@ -6,14 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding, urlfilter
+from . import minhash, mixing, quality, sharding, simhash, tokencount, toxicity, urlfilter
 from .common import cut, documents
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file on this machine; executors have the same library."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "bytes", "shard", "depth", "part", "shard_bytes")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(documents(spark, sf_dir))
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.report(documents(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = cut(mixing.sized(documents(spark, sf_dir)).select("doc_id", "source", "size"))
     return mixing.taken(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -29,7 +53,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": op2_toxicity,
+        "op3_token_counts": op3_token_counts,
         "op4_sharding": op4_sharding,
+        "op5_simhash": op5_simhash,
+        "op6_minhash": op6_minhash,
         "op8_mixing": op8_mixing,
         "op9_url_filters": op9_url_filters,
         "op10_quality": op10_quality,
