@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, quality, sharding, simhash, tokencount, toxicity, urlfilter
+from . import minhash, mixing, packing, quality, sharding, simhash, tokencount, toxicity, urlfilter
 from .common import cut, documents
 
 
@@ -38,6 +38,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(documents(spark, sf_dir))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(documents(spark, sf_dir), tokenizer("word_bpe_49k.json")))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = cut(mixing.sized(documents(spark, sf_dir)).select("doc_id", "source", "size"))
     return mixing.taken(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sharding": op4_sharding,
         "op5_simhash": op5_simhash,
         "op6_minhash": op6_minhash,
+        "op7_packing": op7_packing,
         "op8_mixing": op8_mixing,
         "op9_url_filters": op9_url_filters,
         "op10_quality": op10_quality,
