@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, packing, quality, sharding, simhash, tokencount, toxicity, urlfilter
+from . import minhash, mixing, packing, quality, sharding, simhash, suffix_dedup, tokencount, toxicity, urlfilter
 from .common import cut, documents
 
 
@@ -17,6 +17,10 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(documents(spark, sf_dir))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -57,6 +61,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_toxicity": op2_toxicity,
         "op3_token_counts": op3_token_counts,
         "op4_sharding": op4_sharding,
