@@ -27,7 +27,7 @@ RULES = {
     "few_words": lambda: F.col("n_words") < 20,
     "repeated_words": lambda: 100 * F.col("n_repeat_words") > 30 * F.col("n_words"),
     "many_symbols": lambda: 100 * F.col("n_symbols") > 25 * F.col("n_words"),
-    "repeated_lines": lambda: 100 * F.col("n_dup_lines") > 30 * F.col("n_lines"),
+    "repeated_lines": lambda: 2 * F.col("n_dup_lines") > F.col("n_lines"),
     "short_words": lambda: F.col("word_chars") < 2 * F.col("n_words"),
     "long_words": lambda: F.col("word_chars") > 15 * F.col("n_words"),
 }
@@ -113,12 +113,10 @@ def ablations(book: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """
     masked = F.col("fail_bits").bitwiseAND(F.lit(policy.mask))
     counts = book.groupBy(masked.alias("bits")).count()
-    rules = counts.sparkSession.createDataFrame([(r, BIT[r]) for r in policy.rules], "rule string, bit long")
     failed = lambda r: F.sum(F.when(F.col("bits").bitwiseAND(F.lit(BIT[r])) != 0, F.col("count"))).alias(f"f_{r}")
     only = lambda r: F.sum(F.when(F.col("bits") == BIT[r], F.col("count"))).alias(f"o_{r}")
     totals = counts.agg(F.sum(F.when(F.col("bits") == 0, F.col("count"))).alias("kept"), *map(failed, policy.rules), *map(only, policy.rules))
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    del rules
     return totals.select(
         F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), n(f"f_{r}").alias("failed"), n(f"o_{r}").alias("only"), (n("kept") + n(f"o_{r}")).alias("kept_without")) for r in policy.rules))).alias("r")
     ).select("r.*")
@@ -155,6 +153,6 @@ m AS (SELECT n.doc_id, len(ws) AS n_words, length(regexp_replace(x, '[\x20\x09-\
              len(ls) - len(list_distinct(ls)) AS n_dup_lines, CAST(coalesce(r.m, 0) AS BIGINT) AS n_repeat_words
       FROM n LEFT JOIN r ON n.doc_id = r.doc_id),
 b AS (SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (100 * n_symbols > 25 * n_words)::INT
-      + 8 * (100 * n_dup_lines > 30 * n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 15 * n_words)::INT AS BIGINT) AS fail_bits FROM m)
+      + 8 * (2 * n_dup_lines > n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 15 * n_words)::INT AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, n_lines, fail_bits FROM b
 """
