@@ -74,7 +74,7 @@ def extract_jaccard(docs: DataFrame, entities: DataFrame, q: int, theta: float)
         raise ValueError("theta must be above 0")
     names = _named(entities)
     texts = docs.select("doc_id", "text").filter("text IS NOT NULL")
-    here = texts.select("doc_id", F.posexplode(qgrams(F.col("text"), q)).alias("p", "gram"), gram_count(F.col("text"), q).alias("all"))
+    here = texts.select("doc_id", gram_count(F.col("text"), q).alias("all"), qgrams(F.col("text"), q).alias("_grams")).select("doc_id", "all", F.posexplode("_grams").alias("p", "gram"))
     grams = gram_table(names, q)
     freq = frequencies(gram_table(texts.select(F.col("doc_id").alias("id"), F.col("text").alias("s")), q).join(grams.select("gram").distinct(), "gram", "left_semi"))
     rare = prefixes(ranked(grams, freq), prefix_length(F.col("n"), F.lit(theta))).select(F.col("id").alias("entity_id"), F.col("n").alias("g"), "gram")

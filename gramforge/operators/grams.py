@@ -14,7 +14,8 @@ def gram_table(df: DataFrame, q: int, *keep: str) -> DataFrame:
     Counting per (id, gram) rather than numbering repeats keeps a row for each
     distinct gram; the multiset overlap of two strings is the sum of the smaller counts.
     """
-    rows = df.select("id", *keep, gram_count(F.col("s"), q).alias("n"), F.explode(qgrams(F.col("s"), q)).alias("gram"))
+    # n is computed below the explode; above it, every gram's row would carry the whole string
+    rows = df.select("id", *keep, gram_count(F.col("s"), q).alias("n"), qgrams(F.col("s"), q).alias("_grams")).select("id", *keep, "n", F.explode("_grams").alias("gram"))
     return rows.groupBy("id", *keep, "n", "gram").agg(F.count(F.lit(1)).alias("c"))
 
 
