@@ -72,9 +72,11 @@ def _repeated_words(words: Column) -> Column:
         step = lambda a, i: F.struct((i + WINDOW).alias("end"), (a["n"] + i + WINDOW - F.greatest(i, a["end"])).alias("n"))
         return F.aggregate(twice, start, step, lambda a: a["n"])
 
-    starts = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
-    texts = F.transform(starts, lambda i: F.array_join(F.slice(words, i, WINDOW), " "))
+    # element by element: slice() would copy the whole array for each window
+    starts = F.sequence(F.lit(0), F.size(words) - WINDOW)
+    window = lambda i: [F.get(words, i + k) for k in range(WINDOW)]
+    hashes = F.transform(starts, lambda i: F.xxhash64(*window(i)))
+    texts = F.transform(starts, lambda i: F.concat_ws(" ", *window(i)))
     some = let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
     return F.when(F.size(words) <= WINDOW, 0).when(~some, 0).otherwise(covered(texts)).cast("long")
 
