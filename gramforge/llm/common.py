@@ -27,6 +27,16 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def carried(docs: DataFrame, *names: str) -> DataFrame:
+    """The columns named, and all of docs in one struct _doc, so that no other column's name can clash."""
+    return docs.select(*names, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
+
+
+def restored(df: DataFrame, names: list[str], **new: Column) -> DataFrame:
+    """The columns of _doc, with new ones in place of those of the same name."""
+    return df.select(*(new.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in names))
+
+
 def word_array(text: Column) -> Column:
     """The words of a text; an empty array for null or a text without words."""
     return let(

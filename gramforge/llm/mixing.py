@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_array, word_count
+from .common import carried, cut, restored, word_array, word_count
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -136,8 +136,7 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     A pass takes a document whole, but for one document at the end of each
     source's last pass, whose text is cut to the words taken.
     """
-    names = docs.columns
-    rows = taken(sized(docs), seed).filter("taken > 0")
+    rows = taken(sized(carried(docs, "doc_id", "source", "text")), seed).filter("taken > 0")
     rows = rows.withColumn("_left", F.explode(F.expr("transform(sequence(0L, (taken - 1) div size), k -> least(size, taken - k * size))")))
     text = F.when(F.col("_left") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(word_array(F.col("text")), 1, F.col("_left").cast("int")), " "))
-    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*names)
+    return restored(rows.withColumn("text", text), docs.columns, text=F.col("text"), n_chars=F.length("text").cast("long"))

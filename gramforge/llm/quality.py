@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, word_array
+from .common import SPACES, carried, let, restored, word_array
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -82,7 +82,10 @@ def _repeated_words(words: Column) -> Column:
 
 
 def measure(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, the columns named in keep, and the measurements that the rules use."""
+    """doc_id, the columns named in keep, and the measurements that the rules use.
+
+    The columns kept must not be named like measurements; ``carried`` puts any others out of the way.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     counted = let(word_array(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated_words(w).alias("n_repeat_words")))
@@ -137,8 +140,8 @@ def quality(docs: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
 
 def keep_good(docs: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """The documents that a policy and the base rules keep, with their own columns."""
-    book = apply_policies(ledger(measure(docs, *docs.columns)), policy)
-    return book.filter(F.col(f"kept_{policy.version}") & (F.col("fail_bits").bitwiseAND(F.lit(BASE)) == 0)).select(*docs.columns)
+    book = apply_policies(ledger(measure(carried(docs, "doc_id", "text"), "_doc")), policy)
+    return restored(book.filter(F.col(f"kept_{policy.version}") & (F.col("fail_bits").bitwiseAND(F.lit(BASE)) == 0)), docs.columns)
 
 
 QUALITY_SQL = r"""

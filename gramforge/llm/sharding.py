@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import carried, cut, restored
 
 BITS = 60
 STEP = 12
@@ -87,7 +87,7 @@ def assign(keys: DataFrame, leaves: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """docs with their shard; every shard's bytes are within limit unless it is a single document."""
+    """docs with h, bytes, shard, depth, part and shard_bytes, which replace columns of these names; every shard's bytes are within limit unless it is a single document."""
     keys = hashed(docs)
     return assign(keys, directory(keys.select("h", "bytes"), limit), limit)
 
@@ -95,8 +95,9 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
     """Writes docs under path, a folder for each shard and part; a shard is one file."""
     names = docs.columns
-    out = shard(docs, limit).select(*names, F.concat_ws("-", "shard", "part").alias("_shard"))
-    out.repartition("_shard").write.partitionBy("_shard").parquet(path)
+    out = shard(carried(docs, "doc_id", "text"), limit).withColumn("_shard", F.concat_ws("-", "shard", "part"))
+    out = out.repartition("_shard")
+    restored(out.withColumn("_doc", F.struct("_doc.*", "_shard")), [*names, "_shard"]).write.partitionBy("_shard").parquet(path)
 
 
 def shard_sql(limit: int = LIMIT, bits: int = 24) -> str:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import cut
+from .common import carried, cut, restored
 from .graph import components
 
 SHINGLE = 3
@@ -205,8 +205,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows of one doc_id with several texts stand or fall by their own text; rows without doc_id stay.
     """
     key = F.xxhash64("text")
-    prints = cut(fingerprints(docs.withColumn("_t", key), "_t"))
+    prints = cut(fingerprints(docs.select("doc_id", "text", key.alias("_t")), "_t"))
     lost = near_duplicates(prints).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("_t").alias("_x")).distinct()
-    named = docs.filter("doc_id IS NOT NULL").withColumn("_t", key)
+    named = carried(docs, "doc_id", "text").filter("doc_id IS NOT NULL").select("doc_id", key.alias("_t"), "_doc")
     kept = named.join(lost, (F.col("doc_id") == F.col("_id")) & (F.col("_t") == F.col("_x")), "left_anti")
-    return kept.dropDuplicates(["doc_id", "_t"]).drop("_t").unionByName(docs.filter("doc_id IS NULL"))
+    return restored(kept.dropDuplicates(["doc_id", "_t"]), docs.columns).unionByName(docs.filter("doc_id IS NULL"))

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import carried, restored, shared_dir, stored
 from .suffixes import repeated
 
 LEAST = 400
@@ -251,10 +251,9 @@ def report(docs: DataFrame, least: int = LEAST, **how) -> DataFrame:
 
 def remove(docs: DataFrame, least: int = LEAST, **how) -> DataFrame:
     """docs with the repeated bytes taken out of text, without the documents of which nothing is left; n_chars follows if there."""
-    names = docs.columns
     h1, h2 = text_keys(F.col("text"))
     found = cuts(docs, least, **how).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "kept_text")
-    keyed = docs.withColumn("_a", h1).withColumn("_b", h2)
+    keyed = carried(docs, "text").withColumn("_a", h1).withColumn("_b", h2)
     out = keyed.join(found, (F.col("_a") == F.col("_h1")) & (F.col("_b") == F.col("_h2")), "left").filter("kept_text IS NULL OR kept_text <> ''")
     out = out.withColumn("text", F.coalesce("kept_text", "text"))
-    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out).select(*names)
+    return restored(out, docs.columns, text=F.col("text"), n_chars=F.length("text").cast("long"))
