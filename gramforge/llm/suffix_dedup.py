@@ -34,8 +34,8 @@ from .suffixes import repeated
 
 LEAST = 400
 ANCHOR = 128
-HOT = 2 << 20
-BATCH = 1 << 20
+HOT = 1 << 20
+BATCH = 1 << 19
 _SEGMENT = 1 << 20
 _M = 0x9E3779B97F4A7C15
 _EMPTY = hashlib.sha256(b"").hexdigest()
