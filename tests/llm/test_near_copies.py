@@ -120,3 +120,16 @@ def test_minhash(cases, monkeypatch, size):
     assert {r.fingerprint for r in out} == set(prints.values())
     assert minhash.report(cases.limit(0)).count() == 0
     assert minhash.report(cases.filter("doc_id = 5")).first().near_next == 1.0
+
+
+def test_minhash_search(cases):
+    rows = cases.filter("doc_id <> 20").dropDuplicates(["doc_id"]).filter("doc_id IS NOT NULL")
+    got = {(r.query_id, r.doc_id) for r in minhash.near(rows.filter("doc_id % 2 = 1"), rows).collect()}
+    texts = {r.doc_id: r.text for r in rows.collect() if r.text is not None}
+
+    def similar(a, b):
+        x, y = minhash.shingles(a), minhash.shingles(b)
+        return not x | y or len(x & y) >= 0.8 * len(x | y)
+
+    want = {(a, b) for a in texts for b in texts if a % 2 == 1 and similar(texts[a], texts[b])}
+    assert got <= want and len(got) >= 0.95 * len(want)
