@@ -19,6 +19,17 @@ def gram_table(df: DataFrame, q: int, *keep: str) -> DataFrame:
     return rows.groupBy("id", *keep, "n", "gram").agg(F.count(F.lit(1)).alias("c"))
 
 
+def hash_table(df: DataFrame, q: int, *keep: str) -> DataFrame:
+    """gram_table with a 64-bit hash in place of each gram, for candidates.
+
+    Grams that share a hash count as one, which can only raise an overlap: a filter by
+    overlap or prefix misses no pair, and what it lets through is verified on the strings.
+    """
+    hashes = F.transform(qgrams(F.col("s"), q), lambda g: F.xxhash64(g))
+    rows = df.select("id", *keep, gram_count(F.col("s"), q).alias("n"), hashes.alias("_grams")).select("id", *keep, "n", F.explode("_grams").alias("gram"))
+    return rows.groupBy("id", *keep, "n", "gram").agg(F.count(F.lit(1)).alias("c"))
+
+
 def frequencies(grams: DataFrame) -> DataFrame:
     """gram and df, its occurrences in all strings."""
     return grams.groupBy("gram").agg(F.sum("c").alias("df"))

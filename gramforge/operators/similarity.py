@@ -12,14 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.order import shared_cut
 from ..functions.strings import gram_count, jaccard, prefix_length, t_bound
-from .grams import frequencies, gram_table, prefixes, ranked
+from .grams import frequencies, gram_table, hash_table, prefixes, ranked
 
 STRATEGIES = ("prefix", "count", "brute")
 
 
-def _overlaps(pairs: DataFrame, g1: DataFrame, g2: DataFrame) -> DataFrame:
-    """id1, id2, o, n1, n2 for candidate pairs (id1, id2): only their grams meet."""
+def _overlaps(pairs: DataFrame, left: DataFrame, right: DataFrame, q: int) -> DataFrame:
+    """id1, id2, o, n1, n2 for candidate pairs (id1, id2): only strings of candidates are cut into grams."""
+    g1 = gram_table(left.join(pairs.select(F.col("id1").alias("id")).distinct(), "id", "left_semi"), q)
+    g2 = gram_table(right.join(pairs.select(F.col("id2").alias("id")).distinct(), "id", "left_semi"), q)
     a = g1.select(F.col("id").alias("id1"), "gram", F.col("c").alias("c1"), F.col("n").alias("n1"))
     b = g2.select(F.col("id").alias("id2"), "gram", F.col("c").alias("c2"), F.col("n").alias("n2"))
     met = pairs.join(a, "id1").join(b, ["id2", "gram"])
@@ -45,23 +48,24 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, q: int, theta: float | None
     if strategy == "brute" or theta <= 0:
         return _jaccard_brute(left, right, q, limit, self_join)
     keep = ("threshold",) if own else ()
-    g1, g2 = gram_table(left, q, *keep), gram_table(right, q)
     n1, n2 = F.col("n1"), F.col("n2")
     near = (n2 >= limit() * n1) & (n1 >= limit() * n2)
     if self_join:
         near = near & (F.col("id1") < F.col("id2"))
     names = ("id", "n", "c")
     if strategy == "count":
+        g1, g2 = gram_table(left, q, *keep), gram_table(right, q)
         a = g1.select(*(F.col(c).alias(f"{c}1") for c in names), "gram", *keep)
         b = g2.select(*(F.col(c).alias(f"{c}2") for c in names), F.col("gram").alias("_g"))
         met = a.join(b, (F.col("gram") == F.col("_g")) & near)
         found = met.groupBy("id1", "id2", "n1", "n2", *keep).agg(F.sum(F.least("c1", "c2")).alias("o"))
     else:
+        g1, g2 = hash_table(left, q, *keep), hash_table(right, q)
         freq = frequencies(g2)
         a = prefixes(ranked(g1, freq), prefix_length(F.col("n"), limit())).select(F.col("id").alias("id1"), F.col("n").alias("n1"), "gram", *keep)
         b = prefixes(ranked(g2, freq), prefix_length(F.col("n"), F.lit(float(theta)))).select(F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("gram").alias("_g"))
         pairs = a.join(b, (F.col("gram") == F.col("_g")) & near).select("id1", "id2", *keep).distinct()
-        found = _overlaps(pairs.select("id1", "id2"), g1, g2)
+        found = _overlaps(shared_cut(pairs.select("id1", "id2")), left, right, q)
         if own:
             found = found.join(left.select(F.col("id").alias("id1"), "threshold"), "id1")
     return found.withColumn("sim", jaccard(F.col("o"), n1, n2)).filter(F.col("sim") >= limit()).select("id1", "id2", "sim")
@@ -138,7 +142,7 @@ def ed_pairs(left: DataFrame, right: DataFrame, q: int, tau: int, self_join: boo
     if strategy == "brute":
         rows = s1.crossJoin(s2)
     else:
-        g1, g2 = gram_table(left, q), gram_table(right, q)
+        g1, g2 = hash_table(left, q), hash_table(right, q)
         freq = frequencies(g2)
         few = F.lit(q * tau + 1)
         a = prefixes(ranked(g1, freq), few).select(F.col("id").alias("id1"), F.col("n").alias("n1"), "gram")
