@@ -33,8 +33,10 @@ GROUP = 1 << 16
 #: Bins at least so full are closed when a group is done.
 CLOSED = 0.995
 ROUNDS = 40
-#: Chunks of text remembered with their ids by a worker.
+#: Chunks of text that a worker remembers with their ids, twice at most: those met lately and those met before.
 REMEMBERED = 600_000
+#: A word that parts chunks when many are encoded at once; chunks that hold it are encoded alone.
+_PART = "\u4dc0"
 
 
 class Ids:
@@ -49,16 +51,40 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.part = np.array(self._ids(_PART), np.uint32)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def learn(self, chunks: list[bytes]) -> None:
+        """Encodes chunks together, as one text with the parting word between, and remembers each one's ids."""
+        mark = _PART.encode()
+        for c in (c for c in chunks if mark in c):
+            self.known[c] = np.array(self._ids(c.decode()), "<u4").tobytes()
+        chunks = [c for c in chunks if mark not in c]
+        if not chunks:
+            return
+        ids = np.array(self._ids((b" " + mark + b" ").join([*chunks, b""]).decode()), "<u4")
+        n = len(self.part)
+        at = np.flatnonzero(np.logical_and.reduce([ids[k : len(ids) - n + 1 + k] == self.part[k] for k in range(n)])).tolist()
+        whole, start = ids.tobytes(), 0
+        for c, end in zip(chunks, at, strict=True):
+            self.known[c] = whole[4 * start : 4 * end]
+            start = end + n
 
     def encode(self, texts: list[str]) -> list[bytes]:
         chunks = [t.encode().split() for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({c for cs in chunks for c in cs if c not in self.known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
-                self.known[c] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+            self.before, self.known = self.known, {}
+        new = set().union(*chunks).difference(self.known)
+        if self.before:
+            old = new.intersection(self.before)
+            self.known.update((c, self.before[c]) for c in old)
+            new -= old
+        new = list(new)
+        for at in range(0, len(new), 1024):
+            self.learn(new[at : at + 1024])
         get = self.known.__getitem__
         return [b"".join(map(get, cs)) for cs in chunks]
 
