@@ -15,6 +15,7 @@ rows are packed each; a null doc_id is carried along; an empty table gives no ro
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from bisect import bisect_right
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .wordpieces import WordPieces
 
 CAPACITY = 4096
 END_ID = 1
@@ -37,13 +39,18 @@ ROUNDS = 40
 REMEMBERED = 600_000
 #: A word that parts chunks when many are encoded at once; chunks that hold it are encoded alone.
 _PART = "\u4dc0"
+#: Chunks that are one word of Latin letters, one run of ASCII signs, or a word and then signs. An apostrophe may begin an ending, so it is no sign here.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+#: Longer chunks, in bytes, are left to the library.
+_LONG = 48
 
 
 class Ids:
     """Token ids of whole texts as little-endian 32-bit numbers.
 
     The tokenizer drops white space and forms no token over it, so the ids of a
-    text are those of its chunks between blanks, which are remembered.
+    text are those of its chunks between blanks, which are remembered. Plain chunks
+    not met before are merged many at a time by ``WordPieces``, others by the library.
     """
 
     def __init__(self, path: str):
@@ -53,10 +60,32 @@ class Ids:
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         self.part = np.array(self._ids(_PART), np.uint32)
+        self.words = WordPieces.of(path)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def learn_plain(self, chunks: list[bytes]) -> list[bytes]:
+        """Remembers the ids of the plain ones among chunks, and returns the others."""
+        if self.words is None:
+            return chunks
+        number: dict[str, int] = {"": 0}
+        at, plain, others, match = number.setdefault, [], [], _PLAIN.fullmatch
+        words, signs = [], []
+        for c in chunks:
+            m = match(c.decode()) if len(c) <= _LONG else None
+            if m is None:
+                others.append(c)
+                continue
+            word, sign = m.groups()
+            plain.append(c)
+            words.append(at(word.lower(), len(number)))
+            signs.append(at(sign, len(number)))
+        ids = [b"", *self.words.encode([w.encode() for w in number if w])]
+        get = ids.__getitem__
+        self.known.update(zip(plain, map(bytes.__add__, map(get, words), map(get, signs)), strict=True))
+        return others
+
     def learn(self, chunks: list[bytes]) -> None:
         """Encodes chunks together, as one text with the parting word between, and remembers each one's ids."""
         mark = _PART.encode()
@@ -82,7 +111,7 @@ class Ids:
             old = new.intersection(self.before)
             self.known.update((c, self.before[c]) for c in old)
             new -= old
-        new = list(new)
+        new = self.learn_plain(list(new))
         for at in range(0, len(new), 1024):
             self.learn(new[at : at + 1024])
         get = self.known.__getitem__

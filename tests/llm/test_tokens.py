@@ -89,3 +89,16 @@ def test_exchanges_raise_squared_fill():
     before = sum(int(sizes[b].sum()) ** 2 for b in bins)
     after = packing.local_search(bins, sizes, 4096)
     assert sum(int(sizes[b].sum()) ** 2 for b in after) > before
+
+
+def test_words_merged_together_equal_the_library(monkeypatch):
+    rng = np.random.default_rng(5)
+    letters = list("aaabbthe'stdÉéßÿþµªº<|>startof.,!!_#12٣ŒİǅΣςá 　​中x" + "   eeeeetttoooo")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 200))) for _ in range(1500)]
+    texts += ["<|endoftext|>a", "a<|startoftext|> b", "A" * 5000, "ÀÉ" * 30, "a" * 48, "!" * 90, "É" * 24, "É" * 25 + ".", "it's 'tis", "", " \x85\x1c "]
+    monkeypatch.setattr(packing, "REMEMBERED", 1000)
+    ids = packing.Ids(WORDS)
+    assert ids.words is not None
+    got = sum((ids.encode(texts[k : k + 100]) for k in range(0, len(texts), 100)), [])
+    assert got == [np.array(x, "<u4").tobytes() for x in whole_ids(texts)]
+    assert ids.words.encode([]) == []
