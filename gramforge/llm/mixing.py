@@ -73,7 +73,8 @@ def offsets(docs: DataFrame, targets: DataFrame, seed: int = 7, sums: DataFrame
     ahead = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     places = sums.select("source", "_b", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("_base"))
     places = places.join(targets, places["source"].eqNullSafe(targets["source"])).select(places["source"].alias("_s"), F.col("_b").alias("_c"), "_base", "sid", "source_size", "target")
-    inside = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ties = [c for c in ("doc_id", "size", "_k1", "_k2") if c in docs.columns]
+    inside = Window.partitionBy("source", "_b").orderBy("_h", *ties).rowsBetween(Window.unboundedPreceding, -1)
     own = keyed.withColumn("_own", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     on = own["source"].eqNullSafe(F.col("_s")) & (own["_b"] == F.col("_c"))
     return own.join(places, on).select(*docs.columns, "sid", "source_size", "target", (F.col("_base") + F.col("_own")).alias("start"))
@@ -134,9 +135,21 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The documents of the mix, a row for each pass that takes words of one, with the columns of docs.
 
     A pass takes a document whole, but for one document at the end of each
-    source's last pass, whose text is cut to the words taken.
+    source's last pass, whose text is cut to the words taken. The schedule runs on
+    narrow rows; texts are shuffled once, by a 128-bit key, to meet what is taken of them.
+    Rows of equal doc_id, source and text are counted together, with the other columns of one of them.
     """
-    rows = taken(sized(carried(docs, "doc_id", "source", "text")), seed).filter("taken > 0")
-    rows = rows.withColumn("_left", F.explode(F.expr("transform(sequence(0L, (taken - 1) div size), k -> least(size, taken - k * size))")))
+    wide = carried(docs, "doc_id", "source", "text")
+    parts = (F.col("doc_id"), F.col("doc_id").isNull(), F.col("source"), F.col("source").isNull(), F.col("text"))
+    wide = wide.withColumns({"_k1": F.xxhash64(*parts), "_k2": F.xxhash64(F.lit("second"), *parts)})
+    narrow = cut(sized(wide).select("doc_id", "source", "size", "_k1", "_k2"))
+    uses = taken(narrow, seed).filter("taken > 0")
+    # only the last document of a source's last pass is cut, so a key has one rest at most
+    uses = uses.groupBy("_k1", "_k2").agg(F.max("size").alias("size"), F.sum(F.expr("taken div size")).alias("whole"), F.sum(F.expr("taken % size")).alias("rest"))
+    uses = uses.select(F.col("_k1").alias("_u1"), F.col("_k2").alias("_u2"), "size", "whole", "rest")
+    one = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("doc_id"))
+    once = wide.select("_k1", "_k2", "doc_id", "text", "_doc").withColumn("_one", one).filter("_one = 1")
+    rows = once.join(uses, (F.col("_k1") == F.col("_u1")) & (F.col("_k2") == F.col("_u2")))
+    rows = rows.withColumn("_left", F.explode(F.expr("concat(array_repeat(size, cast(whole as int)), filter(array(rest), x -> x > 0))")))
     text = F.when(F.col("_left") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(word_array(F.col("text")), 1, F.col("_left").cast("int")), " "))
     return restored(rows.withColumn("text", text), docs.columns, text=F.col("text"), n_chars=F.length("text").cast("long"))

@@ -100,6 +100,14 @@ def test_mixing(spark, cases):
     df2 = mixing.mixed_documents(df)
     assert df2.columns == df.columns
     assert df2.agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == sum(took.values())
+    uses, source = defaultdict(int), {k: s for k, s, _ in rows}
+    for x in df2.collect():
+        assert x.text and x.text.split() and x.source == source[x.doc_id]
+        uses[x.doc_id] += len(x.text.split())
+    assert uses == {x.doc_id: x.taken for x in out if x.taken}
+    again = df.unionByName(df)
+    twice, total = mixing.mixed_documents(again), mixing.taken(mixing.sized(again).select("doc_id", "source", "size")).agg(F.sum("taken")).first()[0]
+    assert twice.agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == total
 
 
 def test_mixing_cases(cases):
