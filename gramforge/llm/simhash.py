@@ -199,6 +199,13 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """docs without the rows of lost (_id, and _x as the text's xxhash64); of rows equal in doc_id and text one stays."""
+    named = carried(docs, "doc_id", "text").filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("_t"), "_doc")
+    kept = named.join(lost, (F.col("doc_id") == F.col("_id")) & (F.col("_t") == F.col("_x")), "left_anti")
+    return restored(kept.dropDuplicates(["doc_id", "_t"]), docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without all but the smallest doc_id of each component; of rows equal in doc_id and text one stays.
 
@@ -207,6 +214,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     key = F.xxhash64("text")
     prints = cut(fingerprints(docs.select("doc_id", "text", key.alias("_t")), "_t"))
     lost = near_duplicates(prints).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("_t").alias("_x")).distinct()
-    named = carried(docs, "doc_id", "text").filter("doc_id IS NOT NULL").select("doc_id", key.alias("_t"), "_doc")
-    kept = named.join(lost, (F.col("doc_id") == F.col("_id")) & (F.col("_t") == F.col("_x")), "left_anti")
-    return restored(kept.dropDuplicates(["doc_id", "_t"]), docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    return without(docs, lost)

@@ -1,7 +1,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from gramforge.llm import mixing, packing, queries, quality, simhash, suffix_dedup
+from gramforge.llm import mixing, nearcopies, packing, queries, quality, simhash, suffix_dedup
 
 
 def test_stages_in_turn(spark, cases, tmp_path):
@@ -37,3 +37,31 @@ def test_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and {f"op{n}_" for n in range(1, 11)} <= {n.split("_")[0] + "_" for n in names}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "SimHash near-dedup", "suffix-array dedup", "mixing sources", "best-fit packing"]
+
+
+def test_near_dedup_takes_what_shares_shingles(spark, monkeypatch):
+    """Texts at and under a 5-word Jaccard similarity of 0.8, most of them more than 2 bits apart, with and without large groups."""
+    from common_cases import passage
+
+    def spoiled(seed, changes):
+        words = passage(seed, 300).split()
+        for k in range(changes):
+            words[10 + 25 * k] = f"changed{seed}x{k}"
+        return " ".join(words)
+
+    texts = [t for s in range(500, 520) for t in (passage(s, 300), spoiled(s, s % 12))]
+    hub = passage(600, 300).split()
+    texts += [" ".join(hub[:k] + [f"new{k}"] + hub[k + 1 :]) for k in range(5, 290, 7)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [nearcopies.shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    assert simhash.keep_one(docs).count() > len(set(root))
+    for small in (16, 1):
+        monkeypatch.setattr(nearcopies, "SMALL", small)
+        kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+        assert kept == set(root)
