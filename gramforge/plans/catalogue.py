@@ -143,9 +143,8 @@ def string_functions(spark, d):
 
 
 def byte_distance(spark, d):
-    item = _table(spark, d, "benchmark")
-    first, last = F.col("text").substr(F.lit(1), F.lit(60)), F.reverse(F.col("text")).substr(F.lit(1), F.lit(60))
-    return item.select("item_id", F.length(S.as_bytes(F.col("text"))).alias("n_bytes"), F.levenshtein(S.as_bytes(first), S.as_bytes(last)).alias("dist"))
+    item, text = _table(spark, d, "benchmark"), F.col("text")
+    return item.select("item_id", F.length(S.as_bytes(text)).alias("n_bytes"), F.levenshtein(S.as_bytes(text), S.as_bytes(F.reverse(text))).alias("dist"))
 
 
 def entity_segments(spark, d):

@@ -90,3 +90,11 @@ def test_string_functions(spark):
 def test_segments(spark):
     rows = sim.segments(frame(spark, ["abcdefgh"]), 2).orderBy("seg_no").collect()
     assert [(r.seg_off, r.seg) for r in rows] == [(0, "abc"), (3, "def"), (6, "gh")]
+
+
+def test_byte_distance_takes_whole_texts(spark, sf_dir):
+    from gramforge.plans import catalogue
+
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    got = {r.item_id: (r.n_bytes, r.dist) for r in catalogue.byte_distance(spark, sf_dir).collect()}
+    assert got == {k: (len(t.encode()), ed(t.encode(), t[::-1].encode())) for k, t in texts.items()}
