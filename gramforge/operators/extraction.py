@@ -7,10 +7,16 @@ the positions: positions meet the dictionary by short keys, and the few hits fet
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+from functools import partial
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.strings import gram_count, jaccard, multiset_overlap, prefix_length, qgrams
+from ..functions.strings import prefix_length, qgrams
 from .grams import frequencies, gram_table, prefixes, ranked
 from .similarity import segments
 
@@ -74,16 +80,38 @@ def extract_jaccard(docs: DataFrame, entities: DataFrame, q: int, theta: float)
         raise ValueError("theta must be above 0")
     names = _named(entities)
     texts = docs.select("doc_id", "text").filter("text IS NOT NULL")
-    here = texts.select("doc_id", gram_count(F.col("text"), q).alias("all"), qgrams(F.col("text"), q).alias("_grams")).select("doc_id", "all", F.posexplode("_grams").alias("p", "gram"))
+    here = texts.select("doc_id", F.posexplode(qgrams(F.col("text"), q)).alias("p", "gram"))
     grams = gram_table(names, q)
     freq = frequencies(gram_table(texts.select(F.col("doc_id").alias("id"), F.col("text").alias("s")), q).join(grams.select("gram").distinct(), "gram", "left_semi"))
     rare = prefixes(ranked(grams, freq), prefix_length(F.col("n"), F.lit(theta))).select(F.col("id").alias("entity_id"), F.col("n").alias("g"), "gram")
-    hits = here.join(rare, "gram").withColumn("lo", F.ceil(theta * F.col("g") - F.lit(1e-8)).cast("int")).withColumn("hi", F.floor(F.col("g") / theta + F.lit(1e-8)).cast("int"))
-    cases = hits.filter("lo <= hi").withColumn("w", F.explode(F.sequence(F.greatest("lo", F.lit(1)), "hi")))
-    cases = cases.withColumn("pos", F.explode(F.sequence(F.greatest(F.col("p") - F.col("w") + 1, F.lit(0)), F.col("p")))).filter("pos + w <= all")
-    cases = cases.select("doc_id", "entity_id", "pos", "w").distinct()
-    cases = cases.join(names.select(F.col("id").alias("entity_id"), F.col("s").alias("entity")), "entity_id").join(texts, "doc_id")
-    cases = cases.withColumn("len", F.col("w") + q - 1).withColumn("window", F.expr("substr(text, pos + 1, len)")).drop("text")
-    a, b = qgrams(F.col("window"), q), qgrams(F.col("entity"), q)
-    cases = cases.withColumn("sim", jaccard(multiset_overlap(a, b), F.col("w"), gram_count(F.col("entity"), q)))
-    return cases.filter(F.col("sim") >= theta).select("doc_id", "entity_id", "pos", "len", "sim")
+    hits = here.join(rare, "gram").groupBy("doc_id", "entity_id").agg(F.array_sort(F.collect_set("p")).alias("hits"))
+    cases = hits.join(names.select(F.col("id").alias("entity_id"), F.col("s").alias("entity")), "entity_id").join(texts, "doc_id")
+    return cases.select("doc_id", "entity_id", "hits", "entity", "text").mapInPandas(partial(_windows, q=q, theta=theta), "doc_id long, entity_id long, pos int, len int, sim double")
+
+
+def _windows(batches: Iterator[pd.DataFrame], q: int, theta: float) -> Iterator[pd.DataFrame]:
+    """The matching windows around each document's rare grams of an entity, gram by gram from every start.
+
+    From a start, grams that don't count only grow; beyond g / theta - g of them no longer window matches.
+    """
+    for df in batches:
+        out = []
+        for doc_id, entity_id, hits, entity, text in zip(df["doc_id"].tolist(), df["entity_id"].tolist(), df["hits"], df["entity"], df["text"]):
+            own = Counter(entity[k : k + q] for k in range(len(entity) - q + 1))
+            g, last = len(entity) - q + 1, len(text) - q + 1
+            lo, hi = max(1, math.ceil(theta * g - 1e-8)), math.floor(g / theta + 1e-8)
+            spare, at = g / theta - g + 1e-8, 0
+            for hit in hits:
+                for pos in range(max(at, hit - hi + 1), hit + 1):
+                    left, overlap = dict(own), 0
+                    for w in range(1, min(hi, last - pos) + 1):
+                        gram = text[pos + w - 1 : pos + w - 1 + q]
+                        if left.get(gram, 0):
+                            left[gram] -= 1
+                            overlap += 1
+                        elif w - overlap > spare:
+                            break
+                        if w >= lo and overlap / (w + g - overlap) >= theta:
+                            out.append((doc_id, entity_id, pos, w + q - 1, overlap / (w + g - overlap)))
+                at = max(at, hit + 1)
+        yield pd.DataFrame(out, columns=["doc_id", "entity_id", "pos", "len", "sim"])

@@ -164,6 +164,11 @@ def entity_extract_ed_names(spark, d):
 
 
 def entity_extract_jaccard(spark, d):
+    """Whole documents by 8-grams from 0.8 on, as jaccard_search has them."""
+    return extraction.extract_jaccard(_table(spark, d, "documents"), _table(spark, d, "benchmark").select(F.col("item_id").alias("entity_id"), F.col("text").alias("entity")), 8, 0.8)
+
+
+def entity_extract_jaccard_names(spark, d):
     return extraction.extract_jaccard(_name_docs(spark, d), _nouns(spark, d), 2, 0.6)
 
 
@@ -240,7 +245,7 @@ def json_reply(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         jaccard_search, jaccard_search_brute, ed_search, ed_search_brute, t_occurrence, jaccard_join, jaccard_join_count, jaccard_membership, ed_join, ed_join_two, ed_join_short,
-        gram_df, gram_order, prefix_index, qgrams, string_functions, byte_distance, entity_segments, entity_extract_ed, entity_extract_ed_names, entity_extract_jaccard,
+        gram_df, gram_order, prefix_index, qgrams, string_functions, byte_distance, entity_segments, entity_extract_ed, entity_extract_ed_names, entity_extract_jaccard, entity_extract_jaccard_names,
         range_query, knn, knn_keyword, knn_batch, mbr_build, mbr_point_dist, mbr_intersect, infix_search, autocomplete, suffix_array, lcp_array, json_scan, place_service, json_reply,
     ]
     return {f.__name__: f for f in found}

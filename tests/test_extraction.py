@@ -40,3 +40,14 @@ def test_jaccard(spark, q, theta):
     docs, names = words(4, 6, 0, 25), words(5, 5, 1, 8)
     got = {(r.doc_id, r.entity_id, r.pos, r.len) for r in extraction.extract_jaccard(*tables(spark, docs, names), q, theta).collect()}
     assert got == {(i, j, *m) for i, d in enumerate(docs) for j, e in enumerate(names) for m in extract_jaccard(d, e, q, theta)}
+
+
+def test_jaccard_query_takes_whole_documents(spark, sf_dir):
+    """Benchmark texts as they stand in documents are all found."""
+    from gramforge.plans import catalogue
+
+    docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet").collect(), spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
+    got = {(r.doc_id, r.entity_id, r.pos, r.len) for r in catalogue.entity_extract_jaccard(spark, sf_dir).collect()}
+    want = {(d.doc_id, i.item_id, d.text.find(i.text), len(i.text)) for d in docs for i in items if d.text and i.text and i.text in d.text}
+    assert want and want <= got
+    assert "entity_extract_jaccard_names" in catalogue.queries()
