@@ -205,6 +205,18 @@ def mbr_intersect(spark, d):
     return spatial.mbr_pairs(boxes, 0.1)
 
 
+def mbr_point_dist_all(spark, d):
+    """Every point against the box of the next label, the first one's after the last."""
+    points = _points(spark, d)
+    n = points.select((F.max("label") + 1).alias("n")).first()["n"]  # labels count from 0
+    boxes = spatial.mbr(points, "label").withColumn("label", F.pmod(F.col("label") - 1, F.lit(n)))
+    return points.join(boxes, "label").select("id", spatial.mbr_dist2(*map(F.col, ("lat", "lng", "min_lat", "min_lng", "max_lat", "max_lng"))).alias("dist2"))
+
+
+def mbr_intersect_all(spark, d):
+    return spatial.mbr_pairs(spatial.mbr(_points(spark, d), "label").withColumnRenamed("label", "id"), 0.1)
+
+
 def infix_search(spark, d):
     names = _names(spark, d).select("id", F.col("s").alias("name"))
     return infix.infix_search(names, "in").select("id", "name", "suffix")
@@ -246,7 +258,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         jaccard_search, jaccard_search_brute, ed_search, ed_search_brute, t_occurrence, jaccard_join, jaccard_join_count, jaccard_membership, ed_join, ed_join_two, ed_join_short,
         gram_df, gram_order, prefix_index, qgrams, string_functions, byte_distance, entity_segments, entity_extract_ed, entity_extract_ed_names, entity_extract_jaccard, entity_extract_jaccard_names,
-        range_query, knn, knn_keyword, knn_batch, mbr_build, mbr_point_dist, mbr_intersect, infix_search, autocomplete, suffix_array, lcp_array, json_scan, place_service, json_reply,
+        range_query, knn, knn_keyword, knn_batch, mbr_build, mbr_point_dist, mbr_intersect, mbr_point_dist_all, mbr_intersect_all, infix_search, autocomplete, suffix_array, lcp_array, json_scan, place_service, json_reply,
     ]
     return {f.__name__: f for f in found}
 
@@ -331,6 +343,8 @@ FROM (SELECT item_id AS id, text AS s, length(text) AS n, unnest([0, 1, 2]) AS k
         "mbr_build": f"SELECT label, {_BOX} FROM ({_POINTS}) GROUP BY label",
         "mbr_point_dist": f"WITH b AS (SELECT label, {_BOX} FROM ({_POINTS}) GROUP BY label), j AS (SELECT id, greatest(min_lat - lat, 0.0, lat - max_lat) AS dx, greatest(min_lng - lng, 0.0, lng - max_lng) AS dy FROM ({_POINTS}) p JOIN b ON b.label % 2 = 0 AND p.label = b.label + 1) SELECT id, dx * dx + dy * dy AS dist2 FROM j",
         "mbr_intersect": f"WITH b AS (SELECT label AS id, {_BOX} FROM ({_POINTS}) WHERE lat > 0 GROUP BY label) SELECT a.id AS id1, b.id AS id2 FROM b a JOIN b ON a.id < b.id AND a.min_lat <= b.max_lat AND b.min_lat <= a.max_lat AND a.min_lng <= b.max_lng AND b.min_lng <= a.max_lng",
+        "mbr_point_dist_all": f"WITH b AS (SELECT label, {_BOX} FROM ({_POINTS}) GROUP BY label), j AS (SELECT id, greatest(min_lat - lat, 0.0, lat - max_lat) AS dx, greatest(min_lng - lng, 0.0, lng - max_lng) AS dy FROM ({_POINTS}) p JOIN b ON b.label = (p.label + 1) % (SELECT count(*) FROM b)) SELECT id, dx * dx + dy * dy AS dist2 FROM j",
+        "mbr_intersect_all": f"WITH b AS (SELECT label AS id, {_BOX} FROM ({_POINTS}) GROUP BY label) SELECT a.id AS id1, b.id AS id2 FROM b a JOIN b ON a.id < b.id AND a.min_lat <= b.max_lat AND b.min_lat <= a.max_lat AND a.min_lng <= b.max_lng AND b.min_lng <= a.max_lng",
         "infix_search": "SELECT id, name, min(suffix) AS suffix FROM (SELECT p_partkey AS id, p_name AS name, substr(p_name, i) AS suffix FROM part, unnest(range(1, length(p_name) + 1)) t(i)) WHERE starts_with(suffix, 'in') GROUP BY 1, 2 ORDER BY 3, 1 LIMIT 10",
         "autocomplete": "SELECT name AS suggestion FROM (SELECT c_custkey AS id, c_name AS name, min(suffix) AS suffix FROM (SELECT c_custkey, c_name, substr(c_name, i) AS suffix FROM customer, unnest(range(1, length(c_name) + 1)) t(i)) WHERE starts_with(suffix, '0001') GROUP BY 1, 2 ORDER BY 3, 1 LIMIT 10)",
         "suffix_array": _SUFFIXES,

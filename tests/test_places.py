@@ -120,3 +120,17 @@ def test_stream_equals_batch(spark, places, tmp_path):
     assert set(got) == {0, 1}
     assert [x["addr"] for x in got[0]] == [r.addr for r in service.search(places, "ring", 0.5, 0.5).collect()]
     assert [x["addr"] for x in got[1]] == [r.addr for r in service.search(places, "gear").collect()]
+
+
+def test_boxes_take_all_points(spark, sf_dir):
+    from gramforge.plans import catalogue
+
+    points = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = catalogue.queries()["mbr_point_dist_all"](spark, sf_dir).collect()
+    assert sorted(r.id for r in rows) == sorted(r.vec_id for r in points.select("vec_id").collect())
+    boxes = {}
+    for r in points.select("label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y")).collect():
+        boxes.setdefault(r.label, []).append((r.x, r.y))
+    box = {k: (*map(min, zip(*v)), *map(max, zip(*v))) for k, v in boxes.items()}
+    want = {(a, b) for a in box for b in box if a < b and all(box[a][i] <= box[b][i + 2] and box[b][i] <= box[a][i + 2] for i in (0, 1))}
+    assert {(r.id1, r.id2) for r in catalogue.queries()["mbr_intersect_all"](spark, sf_dir).collect()} == want
