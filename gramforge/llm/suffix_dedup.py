@@ -1,59 +1,54 @@
-"""Removal of byte strings that repeat anywhere in the corpus: suffix arrays by shards.
-
-Any two equal strings of LEAST bytes hold the same least hash of their ANCHOR-grams.
-So each text is cut into runs of window starts with the same least hash (pieces), the
-corpus counts pieces by hash, and only pieces whose hash occurs again are
-looked at closer. The pieces of a hash meet in one task, equal ones collapse to one with a count, and
-``suffixes.repeated`` finds on the Burrows-Wheeler transform of the pieces of
-many hashes which windows of LEAST bytes occur twice. A hash whose pieces hold
-more than HOT bytes together is not given to one task: its windows are counted by
-128-bit hashes, combined before the shuffle, which is exact but for hash collisions.
-
-Texts are stored once, distinct by a 128-bit key and bucketed by it, so that
-both later lookups by key move no text. A text that occurs twice is removed whole.
-
-Defined cases: a null text is empty; texts shorter than LEAST stay whole; matches
-never cross documents; repeated rows count as occurrences of each other, equal doc_ids or
-not; a null doc_id is carried along; an empty table gives no rows; other columns are ignored
-by ``report`` and carried by ``remove``.
+"""Removal of strings that repeat anywhere in the corpus: suffix arrays by shards.
+
+A unit says what strings are made of: BYTES (of 400 or more) or WORDS (50 or more of
+them, whatever white space parts them). Any two equal strings of ``least`` symbols hold the same
+least hash of their anchors, which are substrings of a fixed length. So each text is cut into
+runs of window starts with the same least hash (pieces), the corpus counts pieces by hash,
+and only pieces whose hash occurs again are looked at closer. Equal pieces are counted as one.
+The distinct pieces of a hash meet in one task, and ``suffixes.repeated`` finds on the
+Burrows-Wheeler transform of the pieces of many hashes which windows occur twice.
+
+Where one hash holds more than LIMIT symbols of distinct pieces (a passage in thousands
+of contexts), these are dealt to blocks of that size, each with a transform of its own. Of equal windows
+a block passes on one, so what it passes on is free of repeats; it goes through the same search
+again, by other hashes of longer anchors. The last anchors are the windows themselves, of which
+one hash has but one piece. So every repeat is found by the transform or as an equal piece, at any size.
+
+Texts are stored once, distinct by a 128-bit key, so that later look-ups by key are narrow.
+
+Defined cases: a null text is empty; shorter texts stay whole; matches never cross documents;
+a text that occurs twice is removed whole; repeated rows count as occurrences of each other,
+equal doc_ids or not; equality of whole texts stands on 128 bits of hashes, that of pieces on
+128 bits (of anchor and piece), and that of words on 64 bits each; a null doc_id is carried
+along; an empty table gives no rows; other columns are ignored by ``report`` and carried by ``remove``.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, restored, shared_dir, stored
+from .common import carried, cut, met, restored, stored, word_count
 from .suffixes import repeated
 
-LEAST = 400
-ANCHOR = 128
-HOT = 1 << 20
-BATCH = 1 << 19
+#: Symbols of the distinct pieces of one hash, and of many together, that a task sorts at once; twice that at most.
+LIMIT = 1 << 19
 _SEGMENT = 1 << 20
-_M = 0x9E3779B97F4A7C15
 _EMPTY = hashlib.sha256(b"").hexdigest()
+_SEEDS = (0, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xA0761D6478BD642F)
 
 
 def text_keys(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")
 
 
-def _bucketed(df: DataFrame, *keys: str) -> DataFrame:
-    """df as a table in the shared folder, bucketed by keys like a shuffle of this session."""
-    spark = df.sparkSession
-    name = f"gramforge_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").bucketBy(n, *keys).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
-
-
 class _Powers:
     """Powers of an odd number and of its inverse modulo 2**64."""
 
@@ -67,20 +62,82 @@ class _Powers:
         return [x[:n] for x in self.made]
 
 
-_POWERS = [_Powers(_M), _Powers(0xD6E8FEB86659FD93)]
+_POWERS = _Powers(0x9E3779B97F4A7C15)
 
 
-def gram_hashes(data: np.ndarray, size: int, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each size bytes of data."""
-    up, down = _POWERS[which].upto(len(data))
-    sums = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up))
-    h = (sums[size:] - sums[:-size]) * down[: len(data) - size + 1]
+def _mixed(h: np.ndarray, seed: int = 0) -> np.ndarray:
+    h ^= np.uint64(seed)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     return h
 
 
+def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    up, down = _POWERS.upto(len(data))
+    return np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up)), down
+
+
+def gram_hashes(data: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each size symbols of data."""
+    sums, down = _sums(data)
+    return _mixed((sums[size:] - sums[:-size]) * down[: len(data) - size + 1], seed)
+
+
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of the words of a text, and the bytes behind them."""
+    space = np.concatenate([[True], (data == 32) | (data >= 9) & (data <= 13), [True]]).astype(np.int8)
+    edge = np.diff(space)
+    return np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+
+
+def word_codes(data: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word of a text."""
+    start, end = word_bounds(data)
+    out = np.empty(len(start), np.uint64)
+    for at in range(0, len(start), 1 << 17):
+        a, b = start[at : at + (1 << 17)], end[at : at + (1 << 17)]
+        sums, down = _sums(data[a[0] : b[-1]])
+        a, b = a - start[at], b - start[at]
+        out[at : at + len(a)] = _mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+    return out
+
+
+@dataclass(frozen=True)
+class Unit:
+    """Symbols of a text's bytes, how many make a string that must not repeat, and the lengths of its anchors by level."""
+
+    kind: int
+    least: int
+    anchors: tuple[int, ...]
+    symbols: Callable[[np.ndarray], np.ndarray]
+    dtype: type
+
+    def of(self, text: str) -> np.ndarray:
+        return self.symbols(np.frombuffer(text.encode(), np.uint8))
+
+    @property
+    def shortest(self) -> int:
+        """Bytes of the shortest text that can hold such a string."""
+        return self.least if self.dtype is np.uint8 else 2 * self.least - 1
+
+
+def _same(data: np.ndarray) -> np.ndarray:
+    return data
+
+
+def byte_unit(least: int, anchors: tuple[int, ...]) -> Unit:
+    return Unit(0, least, (*anchors, least), _same, np.uint8)
+
+
+def word_unit(least: int, anchors: tuple[int, ...]) -> Unit:
+    return Unit(1, least, (*anchors, least), word_codes, np.uint64)
+
+
+BYTES = byte_unit(400, (128, 256, 384))
+WORDS = word_unit(50, (16, 32, 46))
+
+
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     """best (np.minimum or np.maximum) of each width entries, from block-wise running values."""
     fill = ~np.uint64(0) if best is np.minimum else np.uint64(0)
@@ -90,170 +147,246 @@ def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(back[: len(x) - width + 1], ahead[width - 1 : len(x)])
 
 
-def runs(text: bytes, least: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """v, start, windows, again: runs of window starts with least hash v; again: v occurs twice in the text."""
-    data, width, found = np.frombuffer(text, np.uint8), least - anchor + 1, []
+#: v: least hash of an anchor; p: hash of the piece; again: v occurs twice in the text.
+_PIECE = [("v", np.int64), ("p", np.int64), ("start", np.int64), ("windows", np.int64), ("again", bool)]
+_PIECES = "v long, p long, h1 long, h2 long, start long, windows long, again boolean"
+
+
+def runs(data: np.ndarray, unit: Unit, level: int = 0) -> tuple[np.ndarray, ...]:
+    """The pieces of a sequence of symbols, as columns of _PIECE."""
+    least, anchor, found = unit.least, unit.anchors[level], []
+    width = least - anchor + 1
     for at in range(0, len(data) - least + 1, _SEGMENT):
-        part = data[at : at + _SEGMENT + least - 1]
-        h = gram_hashes(part, anchor)
+        part = np.ascontiguousarray(data[at : at + _SEGMENT + least - 1])
+        h = gram_hashes(part, anchor, _SEEDS[level % len(_SEEDS)])
         low = _sliding(h, width, np.minimum)
         start = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
         rim = np.zeros(width - 1, np.uint64)
         anchors = h[_sliding(np.concatenate([rim, low, rim]), width, np.maximum) == h]
         values, times = np.unique(anchors, return_counts=True)
-        v = low[start]
-        found.append((v, start + at, np.diff(np.append(start, len(low))), times[np.searchsorted(values, v)] > 1))
-    return tuple(np.concatenate(x) for x in zip(*found))
+        v, windows = low[start], np.diff(np.append(start, len(low)))
+        view, w = memoryview(part.view(np.uint8)), part.itemsize
+        p = [xxhash.xxh3_64_intdigest(view[w * a : w * b]) for a, b in zip(start.tolist(), (start + windows + least - 1).tolist())]
+        found.append((v.view(np.int64), np.array(p, np.uint64).view(np.int64), start + at, windows, times[np.searchsorted(values, v)] > 1))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else tuple(np.zeros(0, t) for _, t in _PIECE)
+
 
+def _find_pieces(unit: Unit, level: int):
+    """Pieces of whole texts; of the windows from start on where these are given (as arrays)."""
 
-def _find_pieces(least: int, anchor: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            parts = [runs(t.encode(), least, anchor) for t in df["text"]]
+            parts, owner = [], []
+            for k, text in enumerate(df["text"]):
+                data = unit.of(text)
+                spots = zip(df["start"].iloc[k].tolist(), df["windows"].iloc[k].tolist()) if level else [(0, len(data))]
+                for start, windows in spots:
+                    v, p, at, n, again = runs(data[start : start + windows + unit.least - 1], unit, level)
+                    parts.append((v, p, at + start, n, again))
+                    owner.append((k, len(v)))
             if not parts:
                 continue
-            count = [len(p[0]) for p in parts]
-            v, start, windows, again = (np.concatenate(x) for x in zip(*parts))
-            yield pd.DataFrame({"v": v.view(np.int64), "h1": np.repeat(df["h1"].to_numpy(), count), "h2": np.repeat(df["h2"].to_numpy(), count), "start": start.astype(np.int64), "windows": windows.astype(np.int64), "again": again})
+            columns = {name: np.concatenate(x) for (name, _), x in zip(_PIECE, zip(*parts))}
+            at = np.repeat(*np.array(owner, np.int64).T)
+            yield pd.DataFrame(columns | {h: df[h].to_numpy()[at] for h in ("h1", "h2")})
 
     return run
 
 
-def _cut_pieces(least: int):
+def _cut_pieces(unit: Unit):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["h1", "h2", "v", "single", "block", "blocks", "start", "piece"]
         for df in batches:
-            rows = [(v, h1, h2, start, text[start : start + n + least - 1]) for h1, h2, text, vs, starts, ns in zip(df["h1"], df["h2"], (t.encode() for t in df["text"]), df["v"], df["start"], df["windows"]) for v, start, n in zip(vs.tolist(), starts.tolist(), ns.tolist())]
-            for k in range(0, len(rows), 10_000):
-                yield pd.DataFrame(rows[k : k + 10_000], columns=["v", "h1", "h2", "start", "piece"])
+            rows = []
+            for h1, h2, text, spots in zip(df["h1"].tolist(), df["h2"].tolist(), df["text"], df["s"]):
+                data = unit.of(text)
+                for s in spots:
+                    rows.append((h1, h2, s["v"], s["single"], s["block"], s["blocks"], s["start"], data[s["start"] : s["start"] + s["windows"] + unit.least - 1].tobytes()))
+                    if len(rows) == 5000:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     return run
 
 
-def _spans(mask: np.ndarray, start: int, least: int) -> list[tuple[int, int]]:
+def _flips(mask: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of true values."""
     edge = np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))
-    return [(start + a, start + b - 1 + least) for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())]
+    return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
 
 
-def _solve(groups: list[dict[bytes, list[tuple[int, int, int]]]], least: int) -> pd.DataFrame:
-    """Spans of the windows that occur twice, for groups of distinct pieces with the places of their copies."""
-    strings = [p for g in groups for p in g]
-    places = [g[p] for g in groups for p in g]
-    # equal windows have one v, so a group of one piece can only repeat within it
-    masks = repeated(strings, least)
-    rows = []
-    for mask, at in zip(masks, places):
-        for h1, h2, start in at:
-            rows += [(h1, h2, a, b) for a, b in _spans(mask | (len(at) > 1), start, least)]
-    return pd.DataFrame(rows, columns=["h1", "h2", "a", "b"])
+def _solve(rows: list[tuple], unit: Unit) -> pd.DataFrame:
+    """What repeats in single pieces, as spans of symbols, and what hot groups pass on, as starts and numbers of windows."""
+    masks = repeated([np.frombuffer(r[6], unit.dtype) for r in rows], unit.least)
+    out = []
+    for (h1, h2, _, single, blocks, start, _), (twice, first) in zip(rows, masks):
+        if single:
+            out += [(h1, h2, start + a, start + b - 1 + unit.least, False) for a, b in _flips(twice)]
+        if blocks > 1:
+            out += [(h1, h2, start + a, b - a, True) for a, b in _flips(first)]
+    return pd.DataFrame(out, columns=["h1", "h2", "a", "b", "rest"])
 
 
-def _match_pieces(least: int, batch: int):
+def _match_pieces(unit: Unit, limit: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        groups: list[dict] = []
+        rows: list[tuple] = []
         held, last = 0, None
         for df in batches:
-            for v, h1, h2, start, piece in zip(df["v"].tolist(), df["h1"].tolist(), df["h2"].tolist(), df["start"].tolist(), df["piece"]):
-                if v != last:
-                    if held >= batch:
-                        yield _solve(groups, least)
-                        groups, held = [], 0
-                    groups.append({})
-                    last = v
-                piece = bytes(piece)
-                copies = groups[-1].get(piece)
-                if copies is None:
-                    groups[-1][piece] = copies = []
-                    held += len(piece)
-                copies.append((h1, h2, start))
-        if groups:
-            yield _solve(groups, least)
+            for h1, h2, v, single, block, blocks, start, piece in zip(*(df[c].tolist() for c in ("h1", "h2", "v", "single", "block", "blocks", "start", "piece"))):
+                if (v, block) != last:
+                    if held >= limit:
+                        yield _solve(rows, unit)
+                        rows, held = [], 0
+                    last = v, block
+                rows.append((h1, h2, v, single, blocks, start, bytes(piece)))
+                held += len(piece) // np.dtype(unit.dtype).itemsize
+        if rows:
+            yield _solve(rows, unit)
 
     return run
 
 
-def _hash_windows(least: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            for h1, h2, start, piece in zip(df["h1"], df["h2"], df["start"], df["piece"]):
-                data = np.frombuffer(piece, np.uint8)
-                x, y = (gram_hashes(data, least, k).view(np.int64) for k in (0, 1))
-                for k in range(0, len(x), 100_000):
-                    n = len(x[k : k + 100_000])
-                    yield pd.DataFrame({"x": x[k : k + n], "y": y[k : k + n], "h1": h1, "h2": h2, "a": start + k + np.arange(n)})
-
-    return run
+def _level(rows: DataFrame, texts: DataFrame, unit: Unit, level: int, limit: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Spans (h1, h2, a, b) of what repeats among the pieces of rows, and the windows that need another level."""
+    last = level == len(unit.anchors) - 1
+    known = stored(rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("_a")).filter("n > 1 OR _a").select("v", "n"))
+    chosen = stored(met(rows, known, ["v"]).drop("n"))
+    place = F.struct("h1", "h2", "start", "windows")
+    distinct = stored(chosen.groupBy("v", "p").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("at")))
+    size = F.sum(F.col("at.windows") + (unit.least - 1))
+    # a group whose pieces all have copies is settled by them
+    groups = distinct.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("_c"), size.alias("_size")).filter("_c = 1")
+    groups = stored(groups.select("v", "n", (F.lit(1) if last else F.ceil(F.col("_size") / limit)).cast("long").alias("blocks")))
+    todo = met(distinct, groups, ["v"]).select("at.*", "v", (F.col("c") == 1).alias("single"), F.expr("pmod(p, blocks)").alias("block"), "blocks")
+    per = todo.groupBy("h1", "h2").agg(F.collect_list(F.struct("v", "single", "block", "blocks", "start", "windows")).alias("s"))
+    there = texts.select("h1", "h2", "text").join(per, ["h1", "h2"]).select("h1", "h2", "text", "s")
+    dealt = there.mapInPandas(_cut_pieces(unit), "h1 long, h2 long, v long, single boolean, block long, blocks long, start long, piece binary")
+    dealt = dealt.repartition("v", "block").sortWithinPartitions("v", "block")
+    found = dealt.mapInPandas(_match_pieces(unit, limit), "h1 long, h2 long, a long, b long, rest boolean")
+    hot = not groups.filter("blocks > 1").isEmpty()
+    if hot:
+        found = stored(found)
+    copies = met(chosen, distinct.filter("c > 1").select("v", "p", F.col("c").alias("n")), ["v", "p"])
+    spans = [copies.select("h1", "h2", F.col("start").alias("a"), (F.col("start") + F.col("windows") + (unit.least - 1)).alias("b")), found.filter("NOT rest").select("h1", "h2", "a", "b")]
+    return spans, found.filter("rest") if hot else None
+
+
+def spans(texts: DataFrame, unit: Unit = BYTES, limit: int = LIMIT) -> DataFrame:
+    """(h1, h2, a, b): symbols a to b of a text are covered by repeated strings; spans may overlap. texts: distinct h1, h2, text."""
+    found, rest = [], None
+    for level in range(len(unit.anchors)):
+        if level:
+            per = rest.groupBy("h1", "h2").agg(F.collect_list(F.struct("a", "b")).alias("s"))
+            there = texts.select("h1", "h2", "text").join(per, ["h1", "h2"]).select("h1", "h2", "text", F.col("s.a").alias("start"), F.col("s.b").alias("windows"))
+        else:
+            there = texts.filter(F.octet_length("text") >= unit.shortest).select("h1", "h2", "text")
+        more, rest = _level(stored(there.mapInPandas(_find_pieces(unit, level), _PIECES)), texts, unit, level, limit)
+        found += more
+        if rest is None or rest.isEmpty():
+            break
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs that the spans cover."""
+    order = np.argsort(a, kind="stable")
+    a, far = a[order], np.maximum.accumulate(b[order])
+    new = np.append(True, a[1:] > far[:-1])
+    return a[new], far[np.append(np.flatnonzero(new)[1:] - 1, len(far) - 1)]
 
 
-def spans(texts: DataFrame, least: int = LEAST, anchor: int = ANCHOR, hot: int = HOT, batch: int = BATCH) -> DataFrame:
-    """(h1, h2, a, b): bytes a to b of a text are covered by repeated strings; spans may overlap. texts: distinct h1, h2, text."""
-    pieces = stored(texts.select("h1", "h2", "text").mapInPandas(_find_pieces(least, anchor), "v long, h1 long, h2 long, start long, windows long, again boolean"))
-    size = F.sum(F.col("windows") + (least - 1)).alias("size")
-    known = pieces.groupBy("v").agg(F.count(F.lit(1)).alias("n"), size, F.max("again").alias("again")).filter("n > 1 OR again").select("v", (F.col("size") > hot).alias("hot"))
-    chosen = stored(pieces.join(known, "v").select("v", "hot", "h1", "h2", "start", "windows"))
+def _without(data: bytes, a: np.ndarray, b: np.ndarray) -> bytes:
+    at, kept = 0, []
+    for lo, hi in zip(a.tolist(), b.tolist()):
+        kept.append(data[at:lo])
+        at = hi
+    return b"".join([*kept, data[at:]])
 
-    def cut_out(rows: DataFrame) -> DataFrame:
-        per = rows.groupBy("h1", "h2").agg(F.collect_list(F.struct("v", "start", "windows")).alias("s"))
-        there = texts.select("h1", "h2", "text").join(per, ["h1", "h2"]).select("h1", "h2", "text", "s.v", "s.start", "s.windows")
-        return there.mapInPandas(_cut_pieces(least), "v long, h1 long, h2 long, start long, piece binary")
 
-    cold = cut_out(chosen.filter("NOT hot")).repartition("v").sortWithinPartitions("v")
-    out = cold.mapInPandas(_match_pieces(least, batch), "h1 long, h2 long, a long, b long")
-    if chosen.filter("hot").isEmpty():
-        return out
-    windows = stored(cut_out(chosen.filter("hot")).mapInPandas(_hash_windows(least), "x long, y long, h1 long, h2 long, a long"))
-    twice = windows.groupBy("x", "y").count().filter("count > 1").select("x", "y")
-    return out.unionByName(windows.join(twice, ["x", "y"]).select("h1", "h2", "a", (F.col("a") + least).alias("b")))
+_NONE = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal runs that the spans cover."""
-    order = np.argsort(a, kind="stable")
-    a, far = a[order], np.maximum.accumulate(b[order])
-    new = np.append(True, a[1:] > far[:-1])
-    return list(zip(a[new].tolist(), far[np.append(np.flatnonzero(new)[1:] - 1, len(far) - 1)].tolist()))
+def _spoken(kind: np.ndarray, a: np.ndarray, b: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
+    own = kind == which
+    return merged(a[own], b[own]) if own.any() else _NONE
 
 
-def _keep_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in batches:
         rows = []
-        for h1, h2, text, a, b in zip(df["h1"], df["h2"], df["text"], df["a"], df["b"]):
-            data, at, kept = text.encode(), 0, []
-            found = merged(a, b)
-            for lo, hi in found:
-                kept.append(data[at:lo])
-                at = hi
-            rest = b"".join([*kept, data[at:]])
-            rows.append((h1, h2, len(data) - len(rest), len(found), hashlib.sha256(rest).hexdigest(), rest.decode(errors="ignore")))
-        yield pd.DataFrame(rows, columns=["h1", "h2", "n_removed", "n_spans", "kept_sha256", "kept_text"])
-
-
-def cuts(docs: DataFrame, least: int = LEAST, **how) -> DataFrame:
-    """h1, h2, n_removed, n_spans, kept_sha256, kept_text of each distinct text that loses bytes.
-
-    kept_text leaves out what a cut leaves of a character.
-    """
-    texts = docs.select("text").filter(F.octet_length("text") >= least).select(*text_keys(F.col("text")), "text")
-    texts = _bucketed(texts.groupBy("h1", "h2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), "h1", "h2")
-    whole = texts.filter("copies > 1").select("h1", "h2", F.octet_length("text").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(_EMPTY).alias("kept_sha256"), F.lit("").alias("kept_text"))
-    found = spans(texts, least, **how).groupBy("h1", "h2").agg(F.collect_list(F.struct("a", "b")).alias("s"))
-    parts = texts.filter("copies = 1").select("h1", "h2", "text").join(found, ["h1", "h2"]).select("h1", "h2", "text", "s.a", "s.b")
-    return whole.unionByName(parts.mapInPandas(_keep_rest, "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, kept_text string"))
+        for h1, h2, text, kind, a, b in zip(df["h1"], df["h2"], df["text"], df["kind"], df["a"], df["b"]):
+            data = text.encode()
+            lo, hi = _spoken(kind, a, b, BYTES.kind)
+            first, behind = _spoken(kind, a, b, WORDS.kind)
+            rows.append((h1, h2, int((hi - lo).sum()), len(lo), hashlib.sha256(_without(data, lo, hi)).hexdigest(), int((behind - first).sum())))
+        yield pd.DataFrame(rows, columns=["h1", "h2", "n_removed", "n_spans", "kept_sha256", "passage_words"])
 
 
-def report(docs: DataFrame, least: int = LEAST, **how) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+def _keep_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for df in batches:
+        rows = []
+        for h1, h2, text, kind, a, b in zip(df["h1"], df["h2"], df["text"], df["kind"], df["a"], df["b"]):
+            data = text.encode()
+            found = [_spoken(kind, a, b, BYTES.kind)]
+            first, behind = _spoken(kind, a, b, WORDS.kind)
+            if len(first):
+                start, end = word_bounds(np.frombuffer(data, np.uint8))
+                found.append((start[first], end[behind - 1]))
+            lo, hi = (np.concatenate(x) for x in zip(*found))
+            rest = _without(data, *merged(lo, hi)).decode(errors="ignore")
+            rows.append((h1, h2, rest if rest.split() else ""))
+        yield pd.DataFrame(rows, columns=["h1", "h2", "kept_text"])
+
+
+def _found(docs: DataFrame, units: tuple[Unit, ...], **how) -> tuple[DataFrame, DataFrame]:
+    """Distinct texts (h1, h2, text, n rows), and of those that occur once and hold repeats their spans as arrays."""
+    shortest = min(u.shortest for u in units)
+    texts = docs.select("text").filter(F.octet_length("text") >= shortest).select(*text_keys(F.col("text")), "text")
+    texts = stored(texts.groupBy("h1", "h2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n")))
+    found = None
+    for u in units:
+        more = spans(texts, u, **how).select("h1", "h2", F.struct(F.lit(u.kind).alias("kind"), "a", "b").alias("s"))
+        found = more if found is None else found.unionByName(more)
+    found = found.groupBy("h1", "h2").agg(F.collect_list("s").alias("s"))
+    return texts, texts.filter("n = 1").select("h1", "h2", "text").join(found, ["h1", "h2"]).select("h1", "h2", "text", "s.kind", "s.a", "s.b")
+
+
+def report(docs: DataFrame, unit: Unit = BYTES, words: Unit = WORDS, **how) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, by unit; passage_words: how many of its words stand in strings of words that repeat."""
+    texts, parts = _found(docs, (unit, words), **how)
+    long, many = F.octet_length("text") >= unit.least, word_count(F.col("text"))
+    size = F.octet_length("text").cast("long")
+    whole = texts.filter("n > 1").select(
+        "h1", "h2", F.when(long, size).otherwise(0).alias("n_removed"), long.cast("long").alias("n_spans"), F.when(long, F.lit(_EMPTY)).otherwise(F.sha2("text", 256)).alias("kept_sha256"),
+        F.when(many >= words.least, many).otherwise(0).alias("passage_words"), "n",
+    )
+    found = parts.mapInPandas(_digest, "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, passage_words long").withColumn("n", F.lit(1).cast("long"))
+    found = stored(whole.unionByName(found))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", *text_keys(text), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("_whole"))
-    found = rows.join(cuts(docs, least, **how).drop("kept_text"), ["h1", "h2"], "left")
+    out = met(rows, found, ["h1", "h2"], "left")
     none = F.lit(0).cast("long")
-    return found.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "_whole").alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "_whole").alias("kept_sha256"), F.coalesce("passage_words", none).alias("passage_words"))
+
 
+def remove(docs: DataFrame, units: tuple[Unit, ...] = (BYTES, WORDS), **how) -> DataFrame:
+    """docs with what repeats by one of units taken out of text, without the documents of which but white space is left; n_chars follows if there.
 
-def remove(docs: DataFrame, least: int = LEAST, **how) -> DataFrame:
-    """docs with the repeated bytes taken out of text, without the documents of which nothing is left; n_chars follows if there."""
+    What a cut leaves of a character goes too.
+    """
+    texts, parts = _found(docs, units, **how)
+    gone = F.lit(False)
+    for u in units:
+        gone = gone | ((F.octet_length("text") if u.kind == BYTES.kind else word_count(F.col("text"))) >= u.least)
+    whole = texts.filter("n > 1").filter(gone).select("h1", "h2", F.lit("").alias("kept_text"), "n")
+    found = whole.unionByName(parts.mapInPandas(_keep_rest, "h1 long, h2 long, kept_text string").withColumn("n", F.lit(1).cast("long")))
+    found = stored(found.withColumnsRenamed({"h1": "_a", "h2": "_b", "kept_text": "_kept", "n": "n"}))
     h1, h2 = text_keys(F.col("text"))
-    found = cuts(docs, least, **how).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "kept_text")
     keyed = carried(docs, "text").withColumn("_a", h1).withColumn("_b", h2)
-    out = keyed.join(found, (F.col("_a") == F.col("_h1")) & (F.col("_b") == F.col("_h2")), "left").filter("kept_text IS NULL OR kept_text <> ''")
-    out = out.withColumn("text", F.coalesce("kept_text", "text"))
+    out = met(keyed, found, ["_a", "_b"], "left").filter("_kept IS NULL OR _kept <> ''")
+    out = out.withColumn("text", F.coalesce("_kept", "text"))
     return restored(out, docs.columns, text=F.col("text"), n_chars=F.length("text").cast("long"))

@@ -1,7 +1,8 @@
 """Repeated substrings by interval expansion on a Burrows-Wheeler transform, in memory.
 
-``repeated`` takes byte strings and tells for each of their positions whether the
-``least`` bytes from there on occur at another position too. The strings are
+``repeated`` takes sequences of symbols (bytes, or numbers) and tells for each of their positions
+whether the ``least`` symbols from there on occur at another position too, and which one of
+equal ones comes first. The sequences are
 joined by separators of their own, their suffixes sorted as deep as ``least``
 needs, and the transform is searched breadth first: the interval of the empty string is
 extended backward by every symbol; all intervals of strings of length l are
@@ -14,8 +15,6 @@ from __future__ import annotations
 
 import numpy as np
 
-_SYMBOLS = 7  # of nine bits, in the first key
-
 
 def _ranks(order: np.ndarray, new: np.ndarray) -> np.ndarray:
     rank = np.empty(len(order), np.int64)
@@ -26,17 +25,19 @@ def _ranks(order: np.ndarray, new: np.ndarray) -> np.ndarray:
 def suffix_order(symbols: np.ndarray, string: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes sorted by their first depth symbols at least; symbols is 0 at a string's end, and these ends sort by string."""
     n = len(symbols)
-    padded = np.append(symbols, np.zeros(_SYMBOLS, np.int64))
+    bits = int(symbols.max()).bit_length()
+    first = min(depth, 62 // bits)  # symbols in the first key
+    padded = np.append(symbols, np.zeros(first, np.int64))
     key, ends = np.zeros(n, np.int64), np.zeros(n, bool)
-    for k in range(_SYMBOLS):
+    for k in range(first):
         at = padded[k : k + n]
         ends |= at == 0
-        key = key << 9 | np.where(ends, 0, at)
+        key = key << bits | np.where(ends, 0, at)
     owner = np.where(ends, string, -1)
     order = np.lexsort((owner, key))
     k, o = key[order], owner[order]
     rank = _ranks(order, np.append(True, (k[1:] != k[:-1]) | (o[1:] != o[:-1])))
-    h = _SYMBOLS
+    h = first
     # suffixes that are already apart keep their places; only tied ones are sorted on
     while h < depth:
         size = np.bincount(rank, minlength=n)
@@ -63,7 +64,7 @@ def suffix_order(symbols: np.ndarray, string: np.ndarray, depth: int) -> np.ndar
 def short_prefixes(symbols: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     """For places 0 to n of the order: whether the common prefix with the place before is shorter than least."""
     n = len(symbols)
-    bwt = symbols[order - 1]
+    bwt, kinds = symbols[order - 1], int(symbols.max()) + 1
     # LF mapping: separators first, each a symbol of its own, then the bytes in order
     by = np.argsort(bwt, kind="stable")
     lf = np.empty(n, np.int64)
@@ -90,7 +91,7 @@ def short_prefixes(symbols: np.ndarray, order: np.ndarray, least: int) -> np.nda
         head = preceding[place] < lo[owner]
         a, b = place[head], place[last]
         # heads and lasts of an interval pair up by symbol
-        ka, kb = owner[head] * 512 + bwt[a], owner[last] * 512 + bwt[b]
+        ka, kb = owner[head] * kinds + bwt[a], owner[last] * kinds + bwt[b]
         if size.max() > 1:
             a, b = a[np.argsort(ka, kind="stable")], b[np.argsort(kb, kind="stable")]
         i, j = lf[a], lf[b]
@@ -101,17 +102,28 @@ def short_prefixes(symbols: np.ndarray, order: np.ndarray, least: int) -> np.nda
     return known
 
 
-def repeated(strings: list[bytes], least: int) -> list[np.ndarray]:
-    """For each string, for each of its first len - least + 1 positions: whether the least bytes from there occur elsewhere too."""
-    size = np.array([len(x) + 1 for x in strings], np.int64)
-    if not len(size):
+def _joined(strings: list) -> tuple[np.ndarray, np.ndarray]:
+    """All symbols as numbers from 1 on, with a 0 after each sequence, and the lengths with it."""
+    parts = [np.frombuffer(x, np.uint8) if isinstance(x, bytes) else x for x in strings]
+    size = np.array([len(x) + 1 for x in parts], np.int64)
+    whole = np.concatenate(parts)
+    codes = whole.astype(np.int64) if whole.dtype == np.uint8 else np.unique(whole, return_inverse=True)[1]
+    out = np.zeros(int(size.sum()), np.int64)
+    inside = np.ones(len(out), bool)
+    inside[np.cumsum(size) - 1] = False
+    out[inside] = codes + 1
+    return out, size
+
+
+def repeated(strings: list, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each sequence, for each of its first len - least + 1 positions: whether the least symbols from there occur elsewhere too, and whether they are the first of equal ones."""
+    if not strings:
         return []
-    joined = np.frombuffer(b"\x00".join(strings) + b"\x00", np.uint8).astype(np.int64) + 1
-    ends = np.cumsum(size) - 1
-    joined[ends] = 0
-    order = suffix_order(joined, np.repeat(np.arange(len(size)), size), least)
+    joined, size = _joined(strings)
+    order = suffix_order(joined, np.repeat(np.arange(len(size)), size), least) if joined.any() else np.arange(len(joined))
     short = short_prefixes(joined, order, least)
-    twice = np.empty(len(joined), bool)
+    twice, first = np.empty(len(joined), bool), np.empty(len(joined), bool)
     twice[order] = ~short[:-1] | ~short[1:]
-    starts = ends - size + 1
-    return [twice[a : a + max(0, n - least)] for a, n in zip(starts.tolist(), size.tolist())]
+    first[order] = short[:-1]
+    starts = np.cumsum(size) - size
+    return [(twice[a : a + max(0, n - least)], first[a : a + max(0, n - least)]) for a, n in zip(starts.tolist(), size.tolist())]
