@@ -14,7 +14,7 @@ a block passes on one, so what it passes on is free of repeats; it goes through
 again, by other hashes of longer anchors. The last anchors are the windows themselves, of which
 one hash has but one piece. So every repeat is found by the transform or as an equal piece, at any size.
 
-Texts are stored once, distinct by a 128-bit key, so that later look-ups by key are narrow.
+Texts are stored once, distinct by a 128-bit key and bucketed by it, so that later look-ups by key move no text.
 
 Defined cases: a null text is empty; shorter texts stay whole; matches never cross documents;
 a text that occurs twice is removed whole; repeated rows count as occurrences of each other,
@@ -26,6 +26,7 @@ along; an empty table gives no rows; other columns are ignored by ``report`` and
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, cut, met, restored, stored, word_count
+from .common import carried, met, restored, shared_dir, stored, word_count
 from .suffixes import repeated
 
 #: Symbols of the distinct pieces of one hash, and of many together, that a task sorts at once; twice that at most.
@@ -49,6 +50,17 @@ def text_keys(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")
 
 
+def _bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """df as files in the shared folder, bucketed by keys like a shuffle of this session; the table's name goes at once."""
+    spark = df.sparkSession
+    name = f"gramforge_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(n, *keys).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # of an external table only the name; the files stay
+    return out
+
+
 class _Powers:
     """Powers of an odd number and of its inverse modulo 2**64."""
 
@@ -135,7 +147,7 @@ def word_unit(least: int, anchors: tuple[int, ...]) -> Unit:
 
 
 BYTES = byte_unit(400, (128, 256, 384))
-WORDS = word_unit(50, (16, 32, 46))
+WORDS = word_unit(50, (12, 28, 46))
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -346,7 +358,7 @@ def _found(docs: DataFrame, units: tuple[Unit, ...], **how) -> tuple[DataFrame,
     """Distinct texts (h1, h2, text, n rows), and of those that occur once and hold repeats their spans as arrays."""
     shortest = min(u.shortest for u in units)
     texts = docs.select("text").filter(F.octet_length("text") >= shortest).select(*text_keys(F.col("text")), "text")
-    texts = stored(texts.groupBy("h1", "h2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n")))
+    texts = _bucketed(texts.groupBy("h1", "h2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n")), "h1", "h2")
     found = None
     for u in units:
         more = spans(texts, u, **how).select("h1", "h2", F.struct(F.lit(u.kind).alias("kind"), "a", "b").alias("s"))
