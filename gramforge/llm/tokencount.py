@@ -10,11 +10,14 @@ that end no farther back than the longest suffix that a vocabulary piece
 begins with. That suffix and those tokens are the state. Their number is finite;
 states and transitions are compiled as texts first need them and kept for the worker's life.
 
-Long texts are cut into chunks. A chunk's state map sends every entry state through
-its head, up to the first blank that follows another character; there all
-states become one, and the rest of the map is a constant. All constant parts run
-in lockstep as lanes of one vectorised table walk; a scan over the chunks then composes
-the maps: each head is run from the exit state of the chunk before it.
+Long texts are cut into chunks. A chunk's state map sends an entry state to an exit state
+and a count. From the first blank on that follows another character it is a constant, as
+all states become one there; these parts run at once, as lanes of one vectorised table walk. Where
+a whole chunk has no such blank, the map of the chunk after it is evaluated for the few entry
+states that short walks over the characters before it end in, and the maps are
+composed in a parallel prefix scan, each with the composition of as many before it as it spans
+itself, in as many rounds as the logarithm of the chunks. An entry state that no short walk
+foresaw is evaluated then, and the scan is run again, so the counts are exact in any case.
 
 Defined cases: null and empty texts have no tokens; strings of special tokens are ordinary
 text, as the library treats them; characters outside the vocabulary count
@@ -35,6 +38,8 @@ BATCH = 1 << 22
 SHIFT, ZERO = 6, 24
 #: States held at most; beyond, compilation starts anew between two batches.
 MAX_STATES = 400_000
+#: Walks that foresee the entry states of a lane, and the characters that the shortest of them reads.
+WALKS, WARM = 16, 48
 BLANK = "▁"
 
 
@@ -68,6 +73,9 @@ class Transducer:
         self.classes[ord(" ")] = self.blank = int(self.classes[ord(BLANK)])
         self.reset()
 
+        #: rounds of the prefix scans
+        self.rounds = 0
+
     def reset(self) -> None:
         #: a class gets a column of the table when it is first met
         self.column = np.full(len(self.char), -1, np.int32)
@@ -170,6 +178,48 @@ class Transducer:
         out_state[order], out_total[order] = state, total - ZERO * steps
         return out_state, out_total
 
+    def scan(self, col: np.ndarray, first: np.ndarray, begin: np.ndarray, end: np.ndarray, number: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Counts of the lanes col[begin:end], each entered in the exit state of the lane before it.
+
+        Lanes of adjoining number form a chain; before holds the state that the first lane of a
+        chain is entered in; first is where a lane's text begins.
+        """
+        n = len(begin)
+        opens = np.append(True, np.diff(number) != 1)
+        # entry states, foreseen by walks that begin at WALKS places before the lane
+        lane = np.repeat(np.arange(n), WALKS)
+        at = np.maximum(begin[lane] - WARM - np.tile(np.arange(WALKS), n), first[lane])
+        entry = self.run(col, at, begin[lane], np.full(len(lane), self.start))[0]
+        entry[opens[lane]] = before[lane[opens[lane]]]
+        lane, entry = np.unique(np.stack([lane, entry]), axis=1)
+        exits, counts = self.run(col, begin[lane], end[lane], entry)
+        while True:
+            # a node for each lane and entry state, in order; jump is the map to a node of the next lane
+            key = lane << 40 | entry
+            aim = np.where(np.append(opens, True)[lane + 1], -1, (lane + 1) << 40 | exits)
+            place = np.minimum(np.searchsorted(key, aim), len(key) - 1)
+            jump = np.append(np.where(key[place] == aim, place, -1), -1)
+            real = np.full(n, -1)
+            real[opens] = np.searchsorted(key, np.flatnonzero(opens) << 40 | before[opens])
+            reach = 1
+            while reach < n:
+                self.rounds += 1
+                here = np.arange(n - reach)
+                to = jump[real[here]]
+                hit = here[to >= 0]
+                hit = hit[real[hit + reach] < 0]
+                real[hit + reach] = jump[real[hit]]
+                jump, reach = jump[jump], 2 * reach
+            lost = np.flatnonzero((real < 0) & np.append(False, real[:-1] >= 0))
+            if not len(lost):
+                return counts[real]
+            # states that were not foreseen
+            state = exits[real[lost - 1]]
+            got, more = self.run(col, begin[lost], end[lost], state)
+            lane, entry, exits, counts = (np.append(x, y) for x, y in ((lane, lost), (entry, state), (exits, got), (counts, more)))
+            order = np.lexsort((entry, lane))
+            lane, entry, exits, counts = lane[order], entry[order], exits[order], counts[order]
+
     def count(self, texts: list[str]) -> np.ndarray:
         if len(self.keys) > MAX_STATES:
             self.reset()
@@ -192,15 +242,14 @@ class Transducer:
         meet = np.append(sync, len(col))[np.searchsorted(sync, begin)]
         meet = np.minimum(meet, end)
         state, total = self.run(col, meet, end, np.full(len(doc), self.start))
-        known = meet < end
-        todo = meet > begin
-        while todo.any():
-            ready = np.flatnonzero(todo & np.append(True, known[:-1]))
-            got, more = self.run(col, begin[ready], meet[ready], state[ready - 1])
-            total[ready] += more
-            whole = ready[~known[ready]]
-            state[whole] = got[~known[ready]]
-            known[ready], todo[ready] = True, False
+        known, head = meet < end, meet > begin
+        ready = np.flatnonzero(head & np.append(True, known[:-1]))
+        got, more = self.run(col, begin[ready], meet[ready], state[ready - 1])
+        total[ready] += more
+        state[ready] = np.where(known[ready], state[ready], got)
+        far = np.flatnonzero(head & ~np.append(True, known[:-1]))
+        if len(far):
+            total[far] += self.scan(col, first[doc[far]], begin[far], meet[far], far, state[far - 1])
         return np.bincount(doc, total, len(texts)).astype(np.int64)
 
 

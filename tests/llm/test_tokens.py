@@ -41,6 +41,32 @@ def test_starting_anew_changes_nothing(monkeypatch):
     assert small == tokencount.count_tokens(texts, SENTENCES)
 
 
+@pytest.mark.parametrize("kind", ["letters", "one letter", "far", "syllables"])
+def test_prefix_scan_takes_logarithmic_rounds(kind):
+    """A million characters without a blank: no chunk but the first has a constant map."""
+    import sentencepiece
+
+    r = random.Random(7)
+    text = {"letters": lambda: "".join(r.choices("etaoinshrdlu", k=1_000_000)), "one letter": lambda: "a" * 1_000_000, "far": lambda: "漢" * 500_000 + "ab" * 250_000, "syllables": lambda: "".join(r.choices(["the", "ing", "tion", "=", "aa", "é"], k=350_000))}[kind]()
+    made = tokencount.Transducer(SENTENCES)
+    got = made.count([text, "a b", text[:5000] + " " + text[:9000]]).tolist()
+    model = sentencepiece.SentencePieceProcessor(model_file=SENTENCES)
+    assert got == [len(x) for x in model.encode([text, "a b", text[:5000] + " " + text[:9000]])]
+    chunks = len(text) // tokencount.CHUNK + 8
+    assert 1 <= made.rounds <= 2 * chunks.bit_length()
+
+
+def test_scan_finds_states_that_were_not_foreseen(monkeypatch):
+    monkeypatch.setattr(tokencount, "CHUNK", 7)
+    monkeypatch.setattr(tokencount, "WALKS", 1)
+    monkeypatch.setattr(tokencount, "WARM", 0)
+    texts = odd_texts(30, 12, list("etaoinaaa")) + ["a" * 700, "tion" * 200]
+    monkeypatch.setattr(tokencount, "_MADE", {})
+    small = tokencount.count_tokens(texts, SENTENCES)
+    monkeypatch.undo()
+    assert small == tokencount.count_tokens(texts, SENTENCES)
+
+
 def whole_ids(texts):
     from tokenizers import Tokenizer
 
