@@ -5,7 +5,7 @@ Pieces are dealt evenly to groups of GROUP, each packed by one task: best fit in
 order of size gives the first bins, then the local search exchanges, between the
 emptiest bin and fuller ones, one piece for one, two for one, or moves a piece, always
 so that the sum of squared fills rises, until bins empty, the lower bound is
-reached or no exchange helps. What the groups leave in underfull bins is
+reached or no exchange helps. What the groups leave in their emptiest bins is
 dealt again to fewer groups, down to one, so the loss does not grow with the groups.
 
 Defined cases: a null text is empty and still ends with the closing id; a document longer
@@ -32,9 +32,10 @@ from .wordpieces import WordPieces
 CAPACITY = 4096
 END_ID = 1
 GROUP = 1 << 16
-#: Bins at least so full are closed when a group is done.
-CLOSED = 0.995
-ROUNDS = 40
+#: Bins at least so full are closed when a group is done; of the others at least all but the emptiest OPEN of the group's bins.
+CLOSED, OPEN = 0.995, 0.25
+#: Underfull bins in a row that the local search tries in vain before it ends; None tries all.
+PATIENCE = 64
 #: Chunks of text that a worker remembers with their ids, twice at most: those met lately and those met before.
 REMEMBERED = 600_000
 #: A word that parts chunks when many are encoded at once; chunks that hold it are encoded alone.
@@ -193,16 +194,19 @@ def _exchange(poor: list[int], rich: list[int], free: int) -> tuple[list[int], l
     return found
 
 
-def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[list[int]]:
-    """bins with no more of them, after exchanges that each raise the sum of squared fills."""
+def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, patience: int | None = PATIENCE) -> list[list[int]]:
+    """bins with no more of them, after exchanges that each raise the sum of squared fills.
+
+    The emptiest bin gives to fuller ones until none gains; then the next one. It ends at the
+    lower bound, or when patience bins in a row (None: all underfull ones) gave nothing.
+    As each exchange raises the sum, it ends in any case.
+    """
     least = -(-int(sizes.sum()) // capacity)
     fill = [int(sizes[b].sum()) for b in bins]
     tried = 0
-    for _ in range(rounds * max(1, len(bins) - least)):
-        if len(bins) <= least:
-            break
+    while len(bins) > least:
         order = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=fill.__getitem__)
-        if tried >= min(8, len(order) - 1):
+        if tried >= len(order) - 1 or patience is not None and tried >= patience:
             break
         d, gained = order[tried], False
         for r in reversed(order[tried + 1 :]):
@@ -220,11 +224,7 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, rounds
                 break
         if not bins[d]:
             del bins[d], fill[d]
-            tried = 0
-        elif gained:
-            tried = 0
-        else:
-            tried += 1
+        tried = 0 if gained else tried + 1
     return bins
 
 
@@ -247,7 +247,10 @@ def _packed(capacity: int, level: int):
         out = df.iloc[order].reset_index(drop=True)
         out["sequence_id"] = first + np.repeat(np.arange(len(bins)), counts)
         out["offset"] = ends - sizes[order] - np.repeat(begins, counts)
-        out["closed"] = np.repeat(fills >= CLOSED * capacity, counts)
+        closed = fills >= CLOSED * capacity
+        emptiest = np.argsort(fills, kind="stable")[: max(1, int(OPEN * len(fills)))]
+        closed |= ~np.isin(np.arange(len(fills)), emptiest)
+        out["closed"] = np.repeat(closed, counts)
         yield out
 
     return run
@@ -270,9 +273,6 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             break
         left = dealt.filter("NOT closed")
         more = left.count()
-        if more > 0.7 * n and -(-more // GROUP) > 1:  # fewer groups can't do better
-            done.append(dealt.select(*names))
-            break
         done.append(dealt.filter("closed").select(*names))
         if not more:
             break

@@ -109,6 +109,34 @@ def test_local_search_keeps_pieces_and_bins(sizes):
     assert -(-s.sum() // 4096) <= len(bins) <= n
 
 
+def test_local_search_empties_bins_that_best_fit_needs():
+    """Sizes of which three fill a bin exactly: best fit alone wastes more than a tenth."""
+    rng, sizes = np.random.default_rng(3), []
+    for _ in range(100):
+        a = int(rng.integers(1025, 1365))
+        b = int(rng.integers(1025, (4096 - a) // 2))
+        sizes += [a, b, 4096 - a - b]
+    s = np.array(sizes)
+    first = packing.best_fit(s, 4096)
+    n = len(first)
+    for patience in (packing.PATIENCE, None):
+        bins = packing.local_search([list(b) for b in first], s, 4096, patience)
+        assert n >= 110 and len(bins) <= 106
+        assert sorted(k for b in bins for k in b) == list(range(len(s))) and max(s[b].sum() for b in bins) <= 4096
+    # from bins as the pieces come
+    bins = packing.local_search([[k] for k in range(len(s))], s, 4096)
+    assert len(bins) <= 110
+
+
+@pytest.mark.parametrize("few", [0.25, 0.5])
+def test_leftovers_of_groups_that_pack_badly_are_dealt_again(spark, monkeypatch, few):
+    monkeypatch.setattr(packing, "GROUP", 50)
+    monkeypatch.setattr(packing, "OPEN", few)
+    rows = spark.range(400).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "2100L + id % 7 AS length", "0L AS ids_crc32")
+    out = packing.pack(rows).collect()
+    assert len({r.sequence_id for r in out}) == len(out) == 400 and all(r.offset == 0 for r in out)
+
+
 def test_exchanges_raise_squared_fill():
     sizes = np.array([3000, 1000, 2000, 1900, 196, 296, 1900, 1900])
     bins = [[0, 4], [2, 3], [1, 5], [6, 7]]
