@@ -10,7 +10,7 @@ the oversized buckets alone, until none is left.
 Defined cases: a null text has 0 bytes; a null doc_id hashes as an empty string;
 a document larger than the limit gets a shard alone; rows that repeat one hash
 cannot be split by bits, so beyond the limit they are cut in order of size into
-numbered parts of that leaf; other columns are carried along by ``assign``.
+numbered parts of that leaf, PART_ROWS rows or so at a time; other columns are carried along by ``assign``.
 """
 
 from __future__ import annotations
@@ -18,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import carried, cut, restored
+from .common import carried, cut, met, restored
 
 BITS = 60
 STEP = 12
-LIMIT = 8 << 20
+LIMIT = 128 << 10
+#: Rows of one repeated hash that are sorted together to be cut into parts.
+PART_ROWS = 50_000
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -70,17 +72,22 @@ def assign(keys: DataFrame, leaves: DataFrame, limit: int = LIMIT) -> DataFrame:
     if not depths:
         return keys.withColumns({"shard": F.lit(""), "depth": F.lit(0), "part": F.lit(0).cast("long"), "shard_bytes": F.lit(0).cast("long")})
     tries = F.array(*(F.struct(F.lit(d).alias("_d"), F.shiftright("h", BITS - d).alias("_p")) for d in sorted(depths)))
-    met = keys.withColumn("_t", F.explode(tries)).select(*keys.columns, "_t._d", "_t._p")
-    there = leaves.select("depth", F.col("prefix").alias("_q"), F.col("bytes").alias("_all"))
-    met = met.join(there, (F.col("_d") == F.col("depth")) & (F.col("_p") == F.col("_q")))
+    tried = keys.withColumn("_t", F.explode(tries)).select(*keys.columns, "_t._d", "_t._p")
+    there = leaves.select(F.col("depth").alias("_d"), F.col("prefix").alias("_p"), F.col("depth").alias("depth"), F.col("prefix").alias("_q"), F.col("bytes").alias("_all"), F.col("docs").alias("n"))
+    placed = met(tried, there, ["_d", "_p"])
     bits = F.when(F.col("depth") == 0, F.lit("root")).otherwise(F.expr("lpad(bin(_q), depth, '0')"))
-    met = met.withColumn("shard", bits).withColumn("_whole", (F.col("_all") <= limit))
-    fit = met.filter("_whole").withColumn("part", F.lit(0).cast("long")).withColumn("shard_bytes", F.col("_all"))
-    # leaves of one repeated hash: sizes in order, next-fit by sum; only these rows are sorted
-    order = Window.partitionBy("h").orderBy("bytes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    most = F.max("bytes").over(Window.partitionBy("h"))
+    placed = placed.withColumn("shard", bits).withColumn("_whole", (F.col("_all") <= limit))
+    fit = placed.filter("_whole").withColumn("part", F.lit(0).cast("long")).withColumn("shard_bytes", F.col("_all"))
+    # leaves of one repeated hash: sizes in order, next-fit by sum, in runs of bounded length; only these rows are sorted
+    runs = F.ceil(F.col("n") / PART_ROWS)
+    rest = placed.filter("NOT _whole").withColumn("_run", F.pmod(F.monotonically_increasing_id(), runs))
+    own = Window.partitionBy("h", "_run")
+    order = own.orderBy("bytes")
+    most = F.max("bytes").over(own)
     room = F.greatest(F.lit(limit) - most, F.lit(1))
-    rest = met.filter("NOT _whole").withColumn("part", F.when(most >= limit, F.row_number().over(Window.partitionBy("h").orderBy("bytes")).cast("long") - 1).otherwise(F.floor((F.sum("bytes").over(order) - F.col("bytes")) / room)))
+    upto = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = F.when(most >= limit, F.row_number().over(order).cast("long") - 1).otherwise(F.floor((upto - F.col("bytes")) / room))
+    rest = rest.withColumn("part", F.shiftleft(F.col("_run"), 32) + local)
     rest = rest.withColumn("shard_bytes", F.sum("bytes").over(Window.partitionBy("h", "part")))
     names = [*keys.columns, "shard", "depth", "part", "shard_bytes"]
     return fit.select(*names).unionByName(rest.select(*names))
@@ -93,15 +100,22 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Writes docs under path, a folder for each shard and part; a shard is one file."""
+    """Writes docs under path, a folder _shard=name for each shard and part (with more underscores where docs has such a column); a shard is one file."""
     names = docs.columns
-    out = shard(carried(docs, "doc_id", "text"), limit).withColumn("_shard", F.concat_ws("-", "shard", "part"))
-    out = out.repartition("_shard")
-    restored(out.withColumn("_doc", F.struct("_doc.*", "_shard")), [*names, "_shard"]).write.partitionBy("_shard").parquet(path)
+    folder = "_shard"
+    while folder in names:
+        folder = f"_{folder}"
+    out = shard(carried(docs, "doc_id", "text"), limit).select("_doc", F.concat_ws("-", "shard", "part").alias("_to"))
+    out = out.repartition("_to").select(F.struct("_doc.*", F.col("_to").alias(folder)).alias("_doc"))
+    restored(out, [*names, folder]).write.partitionBy(folder).parquet(path)
 
 
-def shard_sql(limit: int = LIMIT, bits: int = 24) -> str:
-    """The same by running sums over every prefix length up to bits (leaves deeper than that, or of one repeated hash, don't occur in it)."""
+def shard_sql(limit: int = LIMIT, bits: int = 40) -> str:
+    """The same by running sums over every prefix length up to bits.
+
+    Leaves of one repeated hash don't occur in it, nor deeper ones: of n documents with ids of their own some two
+    share 40 bits with a probability of n * n / 2**41, below a ten-thousandth for 10,000.
+    """
     sums = ", ".join(f"sum(bytes) OVER (PARTITION BY h >> {BITS - d}) AS s{d}" for d in range(bits + 1))
     pick = " ".join(f"WHEN s{d} <= {limit} THEN {d}" for d in range(bits + 1))
     size = " ".join(f"WHEN {d} THEN s{d}" for d in range(bits + 1))

@@ -20,6 +20,23 @@ def against_sql(sf_dir, tables, sql):
     return got.columns, got.fetchall()
 
 
+def test_sharding_query_splits(spark):
+    """At the scale that the query is compared with SQL."""
+    rows = queries.op4_sharding(spark, "/root/testdata/sf0.01").select("shard", "depth", "shard_bytes").distinct().collect()
+    assert len(rows) >= 8 and len({r.depth for r in rows}) > 1 and all(r.shard_bytes <= sharding.LIMIT for r in rows)
+
+
+def test_one_hash_in_most_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(sharding, "PART_ROWS", 100)
+    rows = [(None if k % 3 else k, "x" * (k % 50), "own") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _shard string")
+    out = sharding.shard(df, 1000).groupBy("shard", "part").agg(F.sum("bytes").alias("b"), F.max("shard_bytes").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r.n for r in out) == 3000 and all(r.b == r.s <= 1000 for r in out)
+    sharding.write_shards(df, str(tmp_path / "a"), 1000)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "a")).select("doc_id", "text", "_shard").collect()), key=repr) == sorted(rows, key=repr)
+    sharding.write_shards(df.limit(0), str(tmp_path / "b"), 1000)
+
+
 @pytest.mark.parametrize("name", ["op4_sharding", "op9_url_filters", "op10_quality"])
 def test_equals_sql(spark, sf_dir, name):
     df = queries.queries()[name](spark, sf_dir)
