@@ -52,7 +52,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(urlfilter.captures(spark, sf_dir), urlfilter.intervals(urlfilter.listed(spark)))
+    captures = urlfilter.captures(spark, sf_dir)
+    return urlfilter.judge(captures, urlfilter.intervals(urlfilter.derived_lists(captures)))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ added counts from at on until the next entry of the same list, kind and value.
 Entries become validity intervals; a capture meets, by an as-of equi-join on
 (kind, value) with its fetch time inside the interval, the entries active when
 it was fetched. Intervals of one key do not overlap, so a capture meets
-each key of a list once at most, however hot its host is.
+each key of a list once at most. A key that many captures have (a large host, a common
+word) is spread over tasks; keys that no list has drop out before that join.
 
 A capture's keys are its host and the host's parent domains (kind "domain"), host
 and path up to each slash (kind "path"), and the words of its URL (kind "word").
@@ -21,29 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# The dated entries of the lists used by the query.
-ENTRIES = [
-    ("adult", "domain", "example.net", "add", "2023-02-01"),
-    ("adult", "domain", "example.net", "remove", "2023-05-15"),
-    ("adult", "domain", "example.net", "add", "2023-11-01"),
-    ("adult", "domain", "m.ththth.example.net", "add", "2023-01-10"),
-    ("spam", "domain", "ththre.example.com", "add", "2023-03-01"),
-    ("spam", "domain", "ththre.example.com", "remove", "2023-09-01"),
-    ("spam", "domain", "ththan.example.com", "add", "2023-06-01"),
-    ("spam", "path", "ththth.example.org/de/", "add", "2023-04-01"),
-    ("spam", "path", "ththre.example.com/fr/", "add", "2023-10-01"),
-    ("spam", "word", "ref", "add", "2023-07-01"),
-    ("spam", "word", "ref", "remove", "2023-08-01"),
-    ("allow", "domain", "ththe.example.net", "add", "2023-01-01"),
-    ("allow", "path", "ththre.example.com/en/", "add", "2023-05-01"),
-    ("allow", "path", "ththre.example.com/en/", "remove", "2023-12-01"),
-]
-ALLOW = "allow"
-
+from .common import cut, met
 
-def listed(spark: SparkSession, entries=ENTRIES) -> DataFrame:
-    rows = spark.createDataFrame(list(entries), "list string, kind string, value string, action string, at string")
-    return rows.withColumn("at", F.to_timestamp("at"))
+ALLOW = "allow"
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -75,16 +56,18 @@ def keys(captures: DataFrame) -> DataFrame:
 def judge(captures: DataFrame, spans: DataFrame) -> DataFrame:
     """page_id, url, fetched, n_block, n_allow (active entries met) and blocked, for captures with page_id, url and fetched.
 
-    Matches are summed per capture (a row number of its own tells repeated rows
-    apart is not needed: equal captures have equal verdicts and are counted).
+    Equal captures have equal verdicts: they are judged once and counted.
     """
     base = captures.select("page_id", "url", "fetched").groupBy("page_id", "url", "fetched").agg(F.count(F.lit(1)).alias("_copies"))
-    k = keys(base)
-    s = spans.select(F.col("list"), F.col("kind").alias("_kind"), F.col("value").alias("_value"), "since", "until")
-    active = (F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
-    hits = k.join(s, (k["kind"] == F.col("_kind")) & (k["value"] == F.col("_value")) & active)
-    met = hits.groupBy("page_id", "url", "fetched").agg(F.count_if(F.col("list") != ALLOW).alias("n_block"), F.count_if(F.col("list") == ALLOW).alias("n_allow"))
-    m = met.select(F.col("page_id").alias("_id"), F.col("url").alias("_url"), F.col("fetched").alias("_at"), "n_block", "n_allow")
+    asked = keys(base.select("page_id", "url", "fetched"))
+    lists = spans.groupBy("kind", "value").agg(F.collect_list(F.struct("list", "since", "until")).alias("entries"))  # a key's own history
+    counts = asked.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    hits = met(asked, cut(lists.join(counts, ["kind", "value"])), ["kind", "value"])
+    active = F.filter("entries", lambda e: (F.col("fetched") >= e["since"]) & (e["until"].isNull() | (F.col("fetched") < e["until"])))
+    hits = hits.withColumn("_e", active)
+    of = lambda allow: F.sum(F.size(F.filter("_e", lambda e: (e["list"] == ALLOW) == F.lit(allow))))
+    found = hits.groupBy("page_id", "url", "fetched").agg(of(False).alias("n_block"), of(True).alias("n_allow"))
+    m = found.select(F.col("page_id").alias("_id"), F.col("url").alias("_url"), F.col("fetched").alias("_at"), "n_block", "n_allow")
     joined = base.join(m, F.col("page_id").eqNullSafe(F.col("_id")) & F.col("url").eqNullSafe(F.col("_url")) & F.col("fetched").eqNullSafe(F.col("_at")), "left")
     out = joined.select("page_id", "url", "fetched", F.coalesce("n_block", F.lit(0)).cast("long").alias("n_block"), F.coalesce("n_allow", F.lit(0)).cast("long").alias("n_allow"), "_copies")
     out = out.withColumn("blocked", (F.col("n_block") > 0) & (F.col("n_allow") == 0))
@@ -97,21 +80,42 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("fetched", F.expr("timestamp'2023-01-01 00:00:00' + make_dt_interval(0, cast(pmod(page_id, 8760) as int))"))
 
 
-def _rows() -> str:
-    return ", ".join(f"('{a}', '{b}', '{c}', '{d}', TIMESTAMP '{e} 00:00:00')" for a, b, c, d, e in ENTRIES)
-
+def derived_lists(captures: DataFrame) -> DataFrame:
+    """Dated entries (list, kind, value, action, at) for the test tables, which have no lists: about a fifth of all keys of the captures' URLs.
 
+    The digits of md5("kind value") decide. Digit 1: 0 and 1 spam, 2 allow; of other keys none is listed.
+    Digits 2 and 3: day of 2023 of the first "add". Digit 4 below 8: "remove" after 1 to 256 days
+    (digits 5 and 6); then digit 7 below 8: "add" again 30 days later. A list thus
+    grows with the table, and holds hot hosts and common words as well as single pages.
+    """
+    known = keys(captures.select("url")).groupBy("kind", "value").agg(F.md5(F.concat_ws(" ", "kind", "value")).alias("c"))
+    number = lambda at, n: F.conv(F.substring("c", at, n), 16, 10).cast("int")
+    named = F.when(number(1, 1) < 2, "spam").when(number(1, 1) == 2, ALLOW)
+    day = lambda n: F.timestamp_add("DAY", n, F.lit("2023-01-01 00:00:00").cast("timestamp"))
+    entry = lambda action, at: F.struct(F.lit(action).alias("action"), day(at).alias("at"))
+    add, gone = number(2, 2), number(2, 2) + 1 + number(5, 2)
+    history = F.when(number(4, 1) >= 8, F.array(entry("add", add))).when(number(7, 1) >= 8, F.array(entry("add", add), entry("remove", gone)))
+    history = history.otherwise(F.array(entry("add", add), entry("remove", gone), entry("add", gone + 30)))
+    return known.select(named.alias("list"), "kind", "value", F.explode(history).alias("e")).filter("list IS NOT NULL").select("list", "kind", "value", "e.action", "e.at")
+
+
+_D = "TIMESTAMP '2023-01-01 00:00:00' + to_days"
+_N = lambda at, n: f"CAST('0x' || substr(c, {at}, {n}) AS INTEGER)"
 URL_SQL = rf"""
-WITH e(list, kind, value, action, since) AS (VALUES {_rows()}),
+WITH p AS (SELECT page_id, url, lower(url) AS u, TIMESTAMP '2023-01-01 00:00:00' + to_hours(CAST(page_id % 8760 AS INTEGER)) AS fetched FROM pages),
+h AS (SELECT *, regexp_extract(u, '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1) AS host, regexp_extract(u, '^[a-z][a-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path FROM p),
+v AS (SELECT DISTINCT 'domain' AS kind, substr('.' || host, i + 1) AS value FROM h, unnest(range(1, length(host) + 1)) t(i) WHERE substr('.' || host, i, 1) = '.'
+  UNION SELECT DISTINCT 'path', host || substr(path, 1, i) FROM h, unnest(range(1, length(path) + 1)) t(i) WHERE substr(path, i, 1) = '/'
+  UNION SELECT DISTINCT 'word', w FROM h, unnest(regexp_split_to_array(u, '[^a-z0-9]+')) t(w) WHERE w <> ''),
+c AS (SELECT *, CASE WHEN {_N(1, 1)} < 2 THEN 'spam' WHEN {_N(1, 1)} = 2 THEN 'allow' END AS list, {_N(2, 2)} AS a, {_N(2, 2)} + 1 + {_N(5, 2)} AS b, {_N(4, 1)} < 8 AS x, {_N(7, 1)} < 8 AS y FROM (SELECT *, md5(kind || ' ' || value) AS c FROM v)),
+e AS (SELECT list, kind, value, 'add' AS action, {_D}(a) AS since FROM c WHERE list IS NOT NULL UNION ALL SELECT list, kind, value, 'remove', {_D}(b) FROM c WHERE list IS NOT NULL AND x UNION ALL SELECT list, kind, value, 'add', {_D}(b + 30) FROM c WHERE list IS NOT NULL AND x AND y),
 g AS (SELECT list, kind, lower(value) AS value, since, max((action = 'remove')::INT) AS gone FROM e GROUP BY ALL),
 s AS (SELECT *, lead(since) OVER (PARTITION BY list, kind, value ORDER BY since) AS until FROM g),
-p AS (SELECT page_id, url, lower(url) AS u, TIMESTAMP '2023-01-01 00:00:00' + to_hours(CAST(page_id % 8760 AS INTEGER)) AS fetched FROM pages),
-h AS (SELECT *, regexp_extract(u, '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1) AS host, regexp_extract(u, '^[a-z][a-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path FROM p),
 m AS (SELECT h.page_id, h.url, h.fetched, s.list, s.kind, s.value FROM h JOIN s ON gone = 0 AND fetched >= since AND (until IS NULL OR fetched < until) AND CASE kind
   WHEN 'domain' THEN host = value OR ends_with(host, '.' || value)
   WHEN 'path' THEN starts_with(host || path, value) AND ends_with(value, '/')
   ELSE list_contains(regexp_split_to_array(u, '[^a-z0-9]+'), value) END),
-c AS (SELECT page_id, sum((list <> 'allow')::INT) AS b, sum((list = 'allow')::INT) AS a FROM m GROUP BY page_id)
+k AS (SELECT page_id, sum((list <> 'allow')::INT) AS b, sum((list = 'allow')::INT) AS a FROM m GROUP BY page_id)
 SELECT p.page_id, p.url, p.fetched, CAST(coalesce(b, 0) AS BIGINT) AS n_block, CAST(coalesce(a, 0) AS BIGINT) AS n_allow, coalesce(b, 0) > 0 AND coalesce(a, 0) = 0 AS blocked
-FROM p LEFT JOIN c ON p.page_id = c.page_id
+FROM p LEFT JOIN k ON p.page_id = k.page_id
 """

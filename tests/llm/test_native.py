@@ -170,9 +170,10 @@ def test_sharding(spark, cases, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == cases.count()
 
 
-def test_url_lists(spark):
+def test_url_lists(spark, monkeypatch):
     e = [("b", "domain", "X.com", "add", "2023-01-01"), ("b", "domain", "x.com", "remove", "2023-02-01"), ("b", "domain", "x.com", "add", "2023-02-01"), ("b", "domain", "x.com", "add", "2023-03-01"), ("b", "word", "bad", "add", "2023-01-01"), ("b", "path", "y.org/p/", "add", "2023-01-01"), ("allow", "domain", "ok.x.com", "add", "2023-01-01"), (None, "domain", "z.com", "add", "2023-01-01")]
-    spans = urlfilter.intervals(urlfilter.listed(spark, e))
+    listed = spark.createDataFrame(e, "list string, kind string, value string, action string, at string").withColumn("at", F.to_timestamp("at"))
+    spans = urlfilter.intervals(listed)
     assert spans.count() == 5
     cases = [
         ("http://x.com/", "2022-12-31", False), ("http://x.com/", "2023-01-01", True), ("http://a.x.com:80/q", "2023-01-31", True), ("http://x.com", "2023-02-15", False), ("http://x.com", "2023-03-01", True),
@@ -185,3 +186,9 @@ def test_url_lists(spark):
     assert len(out) == len(rows)
     assert {r.page_id: r.blocked for r in out} == {k: b for k, (_, _, b) in enumerate(cases)}, json.dumps([str(r) for r in out])
     assert urlfilter.judge(df.limit(0), spans).count() == 0
+    assert not any(r.blocked for r in urlfilter.judge(df, spans.limit(0)).collect())
+    # a host of most captures, spread over tasks
+    monkeypatch.setattr(urlfilter.met, "__defaults__", ("inner", 50))
+    many = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x.com/"), F.col("id") % 7).alias("url"), F.lit("2023-03-01").cast("timestamp").alias("fetched"))
+    out = urlfilter.judge(many, spans).collect()
+    assert len(out) == 3000 and all(r.blocked and r.n_block == 1 for r in out)
