@@ -86,13 +86,21 @@ def histogram_bound(a: Column, b: Column) -> Column:
     return F.ceil(total / 2).cast("int")
 
 
+def text_keys(s: Column) -> tuple[Column, Column]:
+    """128 bits of hashes that stand for a string of any length in shuffles."""
+    return F.xxhash64(s).alias("h1"), F.xxhash64(F.lit("second"), s).alias("h2")
+
+
 def representatives(df: DataFrame) -> DataFrame:
-    """The distinct strings of (id, s): the smallest id, s and the number of copies."""
-    return df.filter("s IS NOT NULL").groupBy("s").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "s", "copies")
+    """The distinct strings of (id, s): the smallest id, s and the number of copies. Copies meet before the shuffle, so each task sends a string once."""
+    keyed = df.filter("s IS NOT NULL").select("id", "s", *text_keys(F.col("s")))
+    return keyed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("s").alias("s"), F.count(F.lit(1)).alias("copies")).select("id", "s", "copies")
 
 
 def membership(df: DataFrame) -> DataFrame:
-    """id and rep, the smallest id with an equal string, for every row of (id, s) that isn't null."""
-    reps = representatives(df)
-    rows = df.filter("s IS NOT NULL")
-    return rows.join(reps.select(F.col("s").alias("_s"), F.col("id").alias("rep")), F.col("s") == F.col("_s")).select("id", "rep")
+    """id and rep, the smallest id with an equal string, for every row of (id, s) that isn't null; only ids and keys move."""
+    from .order import met, stored
+
+    rows = stored(df.filter("s IS NOT NULL").select("id", *text_keys(F.col("s"))))
+    reps = stored(rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    return met(rows, reps, ["h1", "h2"]).select("id", "rep")

@@ -2,31 +2,83 @@
 
 Candidates come from an equi-join on grams, restricted to each string's rarest
 grams: two strings that match share one of them. The length bounds are residual
-predicates of that join. Candidates are verified exactly. Strings that are
+predicates of that join; of a pair's shared grams the first place and the number bound the overlap that
+is still possible, and pairs below the least overlap are dropped. What is left is verified
+on the strings. A gram that many strings have is spread over tasks. Strings that are
 null take no part; strings shorter than q have no grams and match under Jaccard
 only for a threshold of 0, where every pair does.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from ..functions.order import shared_cut
-from ..functions.strings import gram_count, jaccard, prefix_length, t_bound
-from .grams import frequencies, gram_table, hash_table, prefixes, ranked
+from ..functions.order import stored
+from ..functions.strings import gram_count, jaccard, overlap_bound, t_bound
+from .grams import bucket_counts, codes, gram_hashes, gram_table, rare_prefixes
 
 STRATEGIES = ("prefix", "count", "brute")
-
-
-def _overlaps(pairs: DataFrame, left: DataFrame, right: DataFrame, q: int) -> DataFrame:
-    """id1, id2, o, n1, n2 for candidate pairs (id1, id2): only strings of candidates are cut into grams."""
-    g1 = gram_table(left.join(pairs.select(F.col("id1").alias("id")).distinct(), "id", "left_semi"), q)
-    g2 = gram_table(right.join(pairs.select(F.col("id2").alias("id")).distinct(), "id", "left_semi"), q)
-    a = g1.select(F.col("id").alias("id1"), "gram", F.col("c").alias("c1"), F.col("n").alias("n1"))
-    b = g2.select(F.col("id").alias("id2"), "gram", F.col("c").alias("c2"), F.col("n").alias("n2"))
-    met = pairs.join(a, "id1").join(b, ["id2", "gram"])
-    return met.groupBy("id1", "id2", "n1", "n2").agg(F.sum(F.least("c1", "c2")).alias("o"))
+#: Rows of one gram that a task may get at least, and the share of all rows beyond which they are spread.
+SPREAD_ROWS = 20_000
+SPREAD_SHARE = 500
+
+
+def common_grams(a: str, b: str, q: int) -> int:
+    """Size of the multiset intersection of the grams of two strings, exactly."""
+    x, y = codes(a), codes(b)
+    hx, hy = gram_hashes(x, q), gram_hashes(y, q)
+    values, number = np.unique(np.append(hx, hy), return_inverse=True)
+    # equal hashes have to be equal grams
+    first = np.zeros(len(values), np.int64)
+    first[number[::-1]] = np.arange(len(number))[::-1]
+    starts = np.append(np.arange(len(hx)), len(x) + np.arange(len(hy)))
+    both = np.append(x, y)
+    if any((both[starts + k] != both[starts[first[number]] + k]).any() for k in range(q)):
+        grams = [a[k : k + q] for k in range(len(hx))] + [b[k : k + q] for k in range(len(hy))]
+        names: dict[str, int] = {}
+        number = np.array([names.setdefault(g, len(names)) for g in grams])
+    size = int(number.max(initial=-1)) + 1
+    return int(np.minimum(np.bincount(number[: len(hx)], minlength=size), np.bincount(number[len(hx) :], minlength=size)).sum())
+
+
+def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, q: int) -> DataFrame:
+    """id1, id2, o (the overlap) and the rest of the candidate pairs."""
+
+    @F.pandas_udf(LongType())
+    def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([common_grams(x, y, q) for x, y in zip(a, b)], dtype="int64")
+
+    a, b = left.select(F.col("id").alias("id1"), F.col("s").alias("s1")), right.select(F.col("id").alias("id2"), F.col("s").alias("s2"))
+    return pairs.join(a, "id1").join(b, "id2").withColumn("o", overlap("s1", "s2")).drop("s1", "s2")
+
+
+def _meeting(a: DataFrame, b: DataFrame, near: Column) -> DataFrame:
+    """Rows of two stored prefix tables (id, n, gram, pos and more on the left) that share a gram; those of a common gram are spread over tasks."""
+    many = b.groupBy("gram").count()
+    fair = max(SPREAD_ROWS, b.count() // SPREAD_SHARE)
+    hot = stored(many.filter(F.col("count") > fair).select(F.col("gram").alias("_hot"), F.ceil(F.col("count") / fair).cast("int").alias("_parts")))  # fewer than SPREAD_SHARE rows
+    a = a.withColumnsRenamed({c: f"{c}1" for c in ("id", "n", "pos")})
+    b = b.select(*(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos")), F.col("gram").alias("_g"))
+    on = F.col("gram") == F.col("_g")
+    if not hot.isEmpty():
+        parts, hot = F.coalesce("_parts", F.lit(1)), F.broadcast(hot)
+        a = a.join(hot, a["gram"] == hot["_hot"], "left").withColumn("_own", F.pmod(F.xxhash64("id1"), parts)).drop("_hot", "_parts")
+        b = b.join(hot, b["_g"] == hot["_hot"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_hot", "_parts")
+        on = on & (F.col("_own") == F.col("_part"))
+    return a.join(b, on & near)
+
+
+def _prefix_tables(left: DataFrame, right: DataFrame, q: int, first: Callable[[int, float], int], second: Callable[[int, float], int], *keep: str) -> tuple[DataFrame, DataFrame]:
+    counts = bucket_counts(right, q)
+    b = stored(rare_prefixes(right, q, counts, second))
+    return b if left is right and not keep else stored(rare_prefixes(left, q, counts, first, *keep)), b
 
 
 def jaccard_pairs(left: DataFrame, right: DataFrame, q: int, theta: float | None = None, self_join: bool = False, strategy: str = "prefix") -> DataFrame:
@@ -43,7 +95,9 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, q: int, theta: float | None
         theta = 0.0 if least is None else least
     if theta is None:
         raise ValueError("theta, or a column threshold on the left")
-    left, right = left.filter("s IS NOT NULL"), right.filter("s IS NOT NULL")
+    same = left is right
+    right = right.filter("s IS NOT NULL")
+    left = right if same else left.filter("s IS NOT NULL")
     limit = (lambda c="threshold": F.col(c)) if own else (lambda c="": F.lit(float(theta)))
     if strategy == "brute" or theta <= 0:
         return _jaccard_brute(left, right, q, limit, self_join)
@@ -60,14 +114,15 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, q: int, theta: float | None
         met = a.join(b, (F.col("gram") == F.col("_g")) & near)
         found = met.groupBy("id1", "id2", "n1", "n2", *keep).agg(F.sum(F.least("c1", "c2")).alias("o"))
     else:
-        g1, g2 = hash_table(left, q, *keep), hash_table(right, q)
-        freq = frequencies(g2)
-        a = prefixes(ranked(g1, freq), prefix_length(F.col("n"), limit())).select(F.col("id").alias("id1"), F.col("n").alias("n1"), "gram", *keep)
-        b = prefixes(ranked(g2, freq), prefix_length(F.col("n"), F.lit(float(theta)))).select(F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("gram").alias("_g"))
-        pairs = a.join(b, (F.col("gram") == F.col("_g")) & near).select("id1", "id2", *keep).distinct()
-        found = _overlaps(shared_cut(pairs.select("id1", "id2")), left, right, q)
-        if own:
-            found = found.join(left.select(F.col("id").alias("id1"), "threshold"), "id1")
+        some = lambda n, t: n - math.ceil(t * n - 1e-8) + 1
+        a, b = _prefix_tables(left, right, q, (lambda n, t: some(n, t)) if own else (lambda n, _: some(n, theta)), lambda n, _: some(n, theta), *keep)
+        met = _meeting(a, b, near)
+        # grams shared up to the last place are all in both prefixes; those after it are as many as the shorter rest
+        rest = lambda f: F.least(n1 - 1 - f("pos1"), n2 - 1 - f("pos2"))
+        pairs = met.groupBy("id1", "id2", "n1", "n2", *keep).agg(F.count(F.lit(1)).alias("_c"), rest(F.min).alias("_first"), rest(F.max).alias("_last"))
+        need = overlap_bound(n1, n2, limit())
+        pairs = pairs.filter((F.col("_first") + 1 >= need) & (F.col("_c") + F.col("_last") >= need)).select("id1", "id2", "n1", "n2", *keep)
+        found = _verified(pairs, left, right, q)
     return found.withColumn("sim", jaccard(F.col("o"), n1, n2)).filter(F.col("sim") >= limit()).select("id1", "id2", "sim")
 
 
@@ -137,17 +192,16 @@ def ed_pairs(left: DataFrame, right: DataFrame, q: int, tau: int, self_join: boo
     their q * tau + 1 rarest; strings of at most q * tau + q - 1 characters may
     share none and are matched by segments.
     """
-    left, right = (df.select("id", "s").filter("s IS NOT NULL") for df in (left, right))
+    same = left is right
+    right = right.select("id", "s").filter("s IS NOT NULL")
+    left = right if same else left.select("id", "s").filter("s IS NOT NULL")
     s1, s2 = left.select(F.col("id").alias("id1"), F.col("s").alias("s1")), right.select(F.col("id").alias("id2"), F.col("s").alias("s2"))
     if strategy == "brute":
         rows = s1.crossJoin(s2)
     else:
-        g1, g2 = hash_table(left, q), hash_table(right, q)
-        freq = frequencies(g2)
-        few = F.lit(q * tau + 1)
-        a = prefixes(ranked(g1, freq), few).select(F.col("id").alias("id1"), F.col("n").alias("n1"), "gram")
-        b = prefixes(ranked(g2, freq), few).select(F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("gram").alias("_g"))
-        pairs = a.join(b, (F.col("gram") == F.col("_g")) & (F.abs(F.col("n1") - F.col("n2")) <= tau)).select("id1", "id2")
+        few = lambda n, _: q * tau + 1
+        a, b = _prefix_tables(left, right, q, few, few)
+        pairs = _meeting(a, b, F.abs(F.col("n1") - F.col("n2")) <= tau).select("id1", "id2")
         short = F.length("s") <= q * tau + q - 1
         pairs = pairs.unionByName(_short_pairs(left.filter(short), right.filter(short), tau))
         pairs = (pairs.filter("id1 < id2") if self_join else pairs).distinct()
