@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.order import with_rank
-from ..functions.strings import chars, let
+from ..functions.strings import chars, let, qgrams
 
 K = 10
 
@@ -26,6 +26,20 @@ def infix_search(places: DataFrame, keyword: str, k: int = K) -> DataFrame:
     return found.orderBy("suffix", "id").limit(k)
 
 
+def containing(places: DataFrame, words: DataFrame) -> DataFrame:
+    """(keyword, id, name) of the places (id, name) that contain a word (keyword, distinct, not empty) literally.
+
+    A name and a word meet by the word's first one to three characters; three wherever the word has them.
+    """
+    sizes = [r[0] for r in words.select(F.least(F.length("keyword"), F.lit(3)).alias("q")).distinct().collect()]  # three values at most
+    keyed = words.select("keyword", F.substring("keyword", 1, 3).alias("gram"))
+    if not sizes:
+        return keyed.select("keyword").join(places.select("id", "name"), F.lit(False))
+    grams = F.array_distinct(F.flatten(F.array(*(qgrams(F.col("name"), q) for q in sorted(sizes)))))
+    named = places.filter("name IS NOT NULL").select("id", "name", F.explode(grams).alias("gram"))
+    return named.join(keyed, "gram").filter(F.contains(F.col("name"), F.col("keyword"))).select("keyword", "id", "name")
+
+
 def autocomplete(places: DataFrame, keyword: str, k: int = K) -> DataFrame:
     """One row: suggestions, the names that infix_search finds, in its order."""
     rows = infix_search(places, keyword, k)  # k rows at most

@@ -8,14 +8,16 @@ row's representative.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
+from ..functions.order import shared_dir
 from ..operators import extraction, grams, infix, similarity, spatial
-from ..sources.files import json_response
+from ..sources import files
 from . import service
 
 EVERY = 50
@@ -116,7 +118,7 @@ def ed_join_short(spark, d):
 
 
 def gram_df(spark, d):
-    return grams.frequencies(grams.gram_table(_documents(spark, d), 3))
+    return grams.gram_counts(_documents(spark, d), 3)
 
 
 def gram_order(spark, d):
@@ -195,17 +197,6 @@ def mbr_build(spark, d):
 
 
 def mbr_point_dist(spark, d):
-    box = spatial.mbr(_points(spark, d), "label").filter("label % 2 = 0")
-    rows = _points(spark, d).join(box.withColumn("label", F.col("label") + 1), "label")
-    return rows.select("id", spatial.mbr_dist2(*map(F.col, ("lat", "lng", "min_lat", "min_lng", "max_lat", "max_lng"))).alias("dist2"))
-
-
-def mbr_intersect(spark, d):
-    boxes = spatial.mbr(_points(spark, d).filter("lat > 0"), "label").withColumnRenamed("label", "id")
-    return spatial.mbr_pairs(boxes, 0.1)
-
-
-def mbr_point_dist_all(spark, d):
     """Every point against the box of the next label, the first one's after the last."""
     points = _points(spark, d)
     n = points.select((F.max("label") + 1).alias("n")).first()["n"]  # labels count from 0
@@ -213,7 +204,7 @@ def mbr_point_dist_all(spark, d):
     return points.join(boxes, "label").select("id", spatial.mbr_dist2(*map(F.col, ("lat", "lng", "min_lat", "min_lng", "max_lat", "max_lng"))).alias("dist2"))
 
 
-def mbr_intersect_all(spark, d):
+def mbr_intersect(spark, d):
     return spatial.mbr_pairs(spatial.mbr(_points(spark, d), "label").withColumnRenamed("label", "id"), 0.1)
 
 
@@ -251,14 +242,64 @@ def place_service(spark, d):
 
 
 def json_reply(spark, d):
-    return json_response(service.answer(_places(spark, d), _requests(spark, d)), "req_id")
+    return files.json_response(service.answer(_places(spark, d), _requests(spark, d)), "req_id")
+
+
+def _written(spark: SparkSession, rows: DataFrame) -> str:
+    """rows (key, value) as lines of text files in order of key, in the shared folder."""
+    path = f"{shared_dir(spark)}/gramforge-{uuid.uuid4().hex}"
+    rows.orderBy("key").select("value").write.text(path)
+    return path
+
+
+def text_scan(spark, d):
+    return files.read_strings(spark, _written(spark, _names(spark, d).toDF("key", "value")))
+
+
+def pair_scan(spark, d):
+    """The two inputs of a join: how many equal lines they have at equal places."""
+    names, types = (_strings(spark, d, "part", "p_partkey", c).toDF("key", "value") for c in ("p_name", "p_type"))
+    a, b = files.read_pair(spark, _written(spark, names), _written(spark, types))
+    return a.join(b.select("id", F.col("s").alias("t")), "id").select("id", "s", "t")
+
+
+def query_scan(spark, d):
+    rows = _names(spark, d).select(F.col("id").alias("key"), F.concat("s", F.lit("\t"), F.format_string("0.%02d", F.col("id") % 100)).alias("value"))
+    return files.read_queries(spark, _written(spark, rows))
+
+
+def place_scan(spark, d):
+    place = F.struct("addr", "name", "pcode", F.array("lat", "lng").alias("latlng"))
+    return files.read_places(spark, _written(spark, _places(spark, d).select(F.col("id").alias("key"), F.to_json(place).alias("value"))))
+
+
+def request_scan(spark, d):
+    near = F.concat(F.lit("0\n"), F.col("lat").cast("string"), F.lit(" "), F.col("lng").cast("string"), F.lit(" "), F.col("name"))
+    bodies = _places(spark, d).select(F.col("id").alias("req_id"), F.when(F.col("id") % 2 == 0, near).otherwise(F.concat(F.lit("1\n"), F.col("name"))).alias("body"))
+    return files.parse_requests(bodies)
+
+
+def search_lines(spark, d):
+    names = _names(spark, d)
+    asked, data = _asked(names, 0.6), S.representatives(names).select("id", "s")
+    return files.search_lines(asked, similarity.jaccard_search(asked, data, 2), data)
+
+
+def join_lines(spark, d):
+    reps = S.representatives(_names(spark, d)).select("id", "s")
+    return files.join_lines(similarity.ed_pairs(reps, reps, 2, 3, self_join=True), reps, reps)
+
+
+def extract_lines(spark, d):
+    return files.extract_lines(extraction.extract(_name_docs(spark, d), _nouns(spark, d), "ed", threshold=1))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         jaccard_search, jaccard_search_brute, ed_search, ed_search_brute, t_occurrence, jaccard_join, jaccard_join_count, jaccard_membership, ed_join, ed_join_two, ed_join_short,
         gram_df, gram_order, prefix_index, qgrams, string_functions, byte_distance, entity_segments, entity_extract_ed, entity_extract_ed_names, entity_extract_jaccard, entity_extract_jaccard_names,
-        range_query, knn, knn_keyword, knn_batch, mbr_build, mbr_point_dist, mbr_intersect, mbr_point_dist_all, mbr_intersect_all, infix_search, autocomplete, suffix_array, lcp_array, json_scan, place_service, json_reply,
+        range_query, knn, knn_keyword, knn_batch, mbr_build, mbr_point_dist, mbr_intersect, infix_search, autocomplete, suffix_array, lcp_array, json_scan, place_service, json_reply,
+        text_scan, pair_scan, query_scan, place_scan, request_scan, search_lines, join_lines, extract_lines,
     ]
     return {f.__name__: f for f in found}
 
@@ -341,10 +382,8 @@ FROM (SELECT item_id AS id, text AS s, length(text) AS n, unnest([0, 1, 2]) AS k
         "knn_keyword": f"SELECT id, name, {near} AS dist2 FROM ({_PLACES}) WHERE contains(name, 'in') ORDER BY dist2, id LIMIT 10",
         "knn_batch": f"SELECT * FROM (SELECT q.id AS req_id, p.id, (p.lat - q.lat) * (p.lat - q.lat) + (p.lng - q.lng) * (p.lng - q.lng) AS dist2, row_number() OVER (PARTITION BY q.id ORDER BY dist2, p.id) AS rank FROM ({_POINTS}) q, ({_POINTS}) p WHERE q.id % {EVERY} = 0) WHERE rank <= 10",
         "mbr_build": f"SELECT label, {_BOX} FROM ({_POINTS}) GROUP BY label",
-        "mbr_point_dist": f"WITH b AS (SELECT label, {_BOX} FROM ({_POINTS}) GROUP BY label), j AS (SELECT id, greatest(min_lat - lat, 0.0, lat - max_lat) AS dx, greatest(min_lng - lng, 0.0, lng - max_lng) AS dy FROM ({_POINTS}) p JOIN b ON b.label % 2 = 0 AND p.label = b.label + 1) SELECT id, dx * dx + dy * dy AS dist2 FROM j",
-        "mbr_intersect": f"WITH b AS (SELECT label AS id, {_BOX} FROM ({_POINTS}) WHERE lat > 0 GROUP BY label) SELECT a.id AS id1, b.id AS id2 FROM b a JOIN b ON a.id < b.id AND a.min_lat <= b.max_lat AND b.min_lat <= a.max_lat AND a.min_lng <= b.max_lng AND b.min_lng <= a.max_lng",
-        "mbr_point_dist_all": f"WITH b AS (SELECT label, {_BOX} FROM ({_POINTS}) GROUP BY label), j AS (SELECT id, greatest(min_lat - lat, 0.0, lat - max_lat) AS dx, greatest(min_lng - lng, 0.0, lng - max_lng) AS dy FROM ({_POINTS}) p JOIN b ON b.label = (p.label + 1) % (SELECT count(*) FROM b)) SELECT id, dx * dx + dy * dy AS dist2 FROM j",
-        "mbr_intersect_all": f"WITH b AS (SELECT label AS id, {_BOX} FROM ({_POINTS}) GROUP BY label) SELECT a.id AS id1, b.id AS id2 FROM b a JOIN b ON a.id < b.id AND a.min_lat <= b.max_lat AND b.min_lat <= a.max_lat AND a.min_lng <= b.max_lng AND b.min_lng <= a.max_lng",
+        "mbr_point_dist": f"WITH b AS (SELECT label, {_BOX} FROM ({_POINTS}) GROUP BY label), j AS (SELECT id, greatest(min_lat - lat, 0.0, lat - max_lat) AS dx, greatest(min_lng - lng, 0.0, lng - max_lng) AS dy FROM ({_POINTS}) p JOIN b ON b.label = (p.label + 1) % (SELECT count(*) FROM b)) SELECT id, dx * dx + dy * dy AS dist2 FROM j",
+        "mbr_intersect": f"WITH b AS (SELECT label AS id, {_BOX} FROM ({_POINTS}) GROUP BY label) SELECT a.id AS id1, b.id AS id2 FROM b a JOIN b ON a.id < b.id AND a.min_lat <= b.max_lat AND b.min_lat <= a.max_lat AND a.min_lng <= b.max_lng AND b.min_lng <= a.max_lng",
         "infix_search": "SELECT id, name, min(suffix) AS suffix FROM (SELECT p_partkey AS id, p_name AS name, substr(p_name, i) AS suffix FROM part, unnest(range(1, length(p_name) + 1)) t(i)) WHERE starts_with(suffix, 'in') GROUP BY 1, 2 ORDER BY 3, 1 LIMIT 10",
         "autocomplete": "SELECT name AS suggestion FROM (SELECT c_custkey AS id, c_name AS name, min(suffix) AS suffix FROM (SELECT c_custkey, c_name, substr(c_name, i) AS suffix FROM customer, unnest(range(1, length(c_name) + 1)) t(i)) WHERE starts_with(suffix, '0001') GROUP BY 1, 2 ORDER BY 3, 1 LIMIT 10)",
         "suffix_array": _SUFFIXES,
@@ -353,6 +392,21 @@ FROM (SELECT item_id AS id, text AS s, length(text) AS n, unnest([0, 1, 2]) AS k
         "place_service": f"""WITH r AS ({requests}), p AS ({_PLACES}),
 m AS (SELECT req_id, near, p.id, name, CASE WHEN near THEN (lat - lat0) * (lat - lat0) + (lng - lng0) * (lng - lng0) END AS d, CASE WHEN NOT near THEN (SELECT min(substr(name, i)) FROM unnest(range(1, length(name) + 1)) t(i) WHERE starts_with(substr(name, i), kw)) END AS x FROM r JOIN p ON contains(name, kw))
 SELECT * FROM (SELECT req_id, row_number() OVER (PARTITION BY req_id ORDER BY d, x, id) AS rank, id, name FROM m) WHERE rank <= 10""",
+        "byte_distance": "SELECT item_id, CAST(strlen(text) AS INTEGER) AS n_bytes, CAST(levenshtein(text, reverse(text)) AS INTEGER) AS dist FROM benchmark",
+        "entity_extract_jaccard_names": f"""WITH n AS ({_NOUNS}), x AS (SELECT DISTINCT p_name AS text FROM part),
+w AS (SELECT text, i, l, substr(text, i, l) AS s FROM x, unnest(range(1, length(text) + 1)) t(i), unnest(range(2, length(text) + 1)) u(l) WHERE i + l - 1 <= length(text)),
+a AS (SELECT s, substr(s, k, 2) AS g, count(*) AS c FROM (SELECT DISTINCT s FROM w), unnest(range(1, length(s))) t(k) GROUP BY 1, 2), b AS (SELECT entity_id, length(entity) - 1 AS m, substr(entity, k, 2) AS g, count(*) AS c FROM n, unnest(range(1, length(entity))) t(k) GROUP BY 1, 2, 3),
+o AS (SELECT s, entity_id, m, sum(least(a.c, b.c)) AS o FROM a JOIN b USING (g) GROUP BY 1, 2, 3), f AS (SELECT s, entity_id, CAST(o AS DOUBLE) / CAST(length(s) - 1 + m - o AS DOUBLE) AS sim FROM o)
+SELECT p_partkey AS doc_id, entity_id, CAST(i - 1 AS INTEGER) AS pos, CAST(l AS INTEGER) AS len, sim FROM f JOIN w USING (s) JOIN part ON p_name = text WHERE sim >= 0.6""",
+        "text_scan": "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS id, p_name AS s FROM part",
+        "pair_scan": "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS id, p_name AS s, p_type AS t FROM part",
+        "query_scan": "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS query_id, p_name AS query, CAST('0.' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') AS DOUBLE) AS threshold FROM part",
+        "place_scan": f"SELECT row_number() OVER (ORDER BY e.id) - 1 AS id, p_brand AS addr, p_name AS name, p_size AS pcode, lat, lng FROM ({_POINTS}) e JOIN part ON p_partkey = e.id",
+        "request_scan": f"SELECT id AS req_id, CAST(id % 2 AS INTEGER) AS qt, CASE WHEN id % 2 = 0 THEN lat END AS lat, CASE WHEN id % 2 = 0 THEN lng END AS lng, name AS keyword FROM ({_PLACES})",
+        "search_lines": f"""SELECT p_partkey AS query_id, -1 AS line_no, printf('+ %.2f %s', 0.6::DOUBLE, p_name) AS line FROM part WHERE p_partkey % {EVERY} = 0
+UNION ALL SELECT query_id, j.id, printf('  %.6f %s', sim, s) FROM ({_jaccard_sql(_PQ, _PR, 2, 0.6)}) j JOIN ({_PR}) r ON r.id = j.id""",
+        "join_lines": f"SELECT a.id AS id1, b.id AS id2, '+ ' || a.id || ' ' || b.id || ' ' || levenshtein(a.s, b.s) || ' ' || a.s || ' ' || b.s AS line FROM ({_PR}) a JOIN ({_PR}) b ON a.id < b.id AND levenshtein(a.s, b.s) <= 3",
+        "extract_lines": f"WITH n AS ({_NOUNS}), w AS ({_WINDOWS}) SELECT doc_id, entity_id, doc_id || ' ' || entity_id || ' ' || (i - 1) || ' ' || l || ' ' || levenshtein(substr(text, i, l), entity) AS line FROM w WHERE levenshtein(substr(text, i, l), entity) <= 1",
         "string_functions": f"""{overlap} SELECT p_partkey, overlap, CAST(overlap AS DOUBLE) / CAST(length(p_name) + length(p_type) - 2 - overlap AS DOUBLE) AS sim, CAST(l AS INTEGER) AS dist, CAST(CASE WHEN l <= 6 THEN l ELSE -1 END AS INTEGER) AS dist_6,
 {_bound_sql()} AS bound, reverse(p_name) AS reversed, CAST(len(string_split(p_name, ' ')) AS INTEGER) AS n_tokens, contains(p_name, 'in') AS has_in FROM v""",
     }

@@ -126,11 +126,52 @@ def test_boxes_take_all_points(spark, sf_dir):
     from gramforge.plans import catalogue
 
     points = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    rows = catalogue.queries()["mbr_point_dist_all"](spark, sf_dir).collect()
+    rows = catalogue.queries()["mbr_point_dist"](spark, sf_dir).collect()
     assert sorted(r.id for r in rows) == sorted(r.vec_id for r in points.select("vec_id").collect())
     boxes = {}
     for r in points.select("label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y")).collect():
         boxes.setdefault(r.label, []).append((r.x, r.y))
     box = {k: (*map(min, zip(*v)), *map(max, zip(*v))) for k, v in boxes.items()}
     want = {(a, b) for a in box for b in box if a < b and all(box[a][i] <= box[b][i + 2] and box[b][i] <= box[a][i + 2] for i in (0, 1))}
-    assert {(r.id1, r.id2) for r in catalogue.queries()["mbr_intersect_all"](spark, sf_dir).collect()} == want
+    assert {(r.id1, r.id2) for r in catalogue.queries()["mbr_intersect"](spark, sf_dir).collect()} == want
+
+
+def test_service_with_keywords_that_few_places_have(spark, monkeypatch):
+    from gramforge.plans import service
+
+    rows = [(k, f"shop {k % 7}" + (" rare" if k == 77 else ""), "a", 1, float(k % 20), float(k // 20)) for k in range(400)]
+    places = spark.createDataFrame(rows, "id long, name string, addr string, pcode int, lat double, lng double")
+    asked = [(k, 0, float(k), 3.0, w) for k, w in enumerate(["rare", "none at all", "", "shop", "p 3", "6", "100%", "shop 1"])]
+    asked += [(100 + k, 1, None, None, w) for k, w in enumerate(["rare", "nowhere", "", "op 2", "s", "p 33"])]
+    requests = spark.createDataFrame(asked, "req_id long, qt int, lat double, lng double, keyword string")
+    want = set()
+    for req, qt, lat, lng, word in asked:
+        hits = [r for r in rows if word in r[1]]
+        if qt == 0:
+            hits.sort(key=lambda r: ((r[4] - lat) ** 2 + (r[5] - lng) ** 2, r[0]))
+        else:
+            hits.sort(key=lambda r: (min([r[1][i:] for i in range(len(r[1])) if r[1].startswith(word, i)] if word else [r[1]]), r[0]))
+        want |= {(req, n, r[0]) for n, r in enumerate(hits[:10], 1)}
+    for rare in (2000, 0):
+        monkeypatch.setattr(service, "RARE", rare)
+        assert {(r.req_id, r["rank"], r.id) for r in service.answer(places, requests).collect()} == want
+    text = service.answer(places, requests)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in text and "CartesianProduct" not in text
+    assert service.answer(places.limit(0), requests).count() == 0 and service.answer(places, requests.limit(0)).count() == 0
+
+
+def test_boxes_of_all_sizes(spark):
+    import random
+
+    r = random.Random(4)
+    boxes = []
+    for k in range(300):
+        size = 10 ** r.uniform(-3, 3)
+        x, y = r.uniform(-1000, 1000), r.uniform(-1000, 1000)
+        boxes.append((k, x, y, x + size * r.random(), y + size * r.random()))
+    boxes += [(1000, -5000.0, -5000.0, 5000.0, 5000.0), (1001, 1.0, 1.0, 1.0, 1.0), (1002, 1.0, 1.0, 1.0, 1.0), (1003, 2.0, 0.0, 1.0, 5.0)]
+    df = spark.createDataFrame(boxes, "id long, min_lat double, min_lng double, max_lat double, max_lng double")
+    valid = [b for b in boxes if b[1] <= b[3] and b[2] <= b[4]]
+    want = sorted((a[0], b[0]) for a in valid for b in valid if a[0] < b[0] and a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4])
+    for cell in (0.1, 50.0):
+        assert sorted(map(tuple, spatial.mbr_pairs(df, cell).collect())) == want
