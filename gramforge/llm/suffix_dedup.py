@@ -42,6 +42,7 @@ from .suffixes import repeated
 #: Symbols of the distinct pieces of one hash, and of many together, that a task sorts at once; twice that at most.
 LIMIT = 1 << 19
 _SEGMENT = 1 << 20
+_FEW = 1 << 15  # symbols worked on at once, so that they stay in a core's cache
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _SEEDS = (0, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xA0761D6478BD642F)
 
@@ -146,7 +147,7 @@ def word_unit(least: int, anchors: tuple[int, ...]) -> Unit:
     return Unit(1, least, (*anchors, least), word_codes, np.uint64)
 
 
-BYTES = byte_unit(400, (128, 256, 384))
+BYTES = byte_unit(400, (64, 224, 384))
 WORDS = word_unit(50, (12, 28, 46))
 
 
@@ -159,48 +160,72 @@ def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(back[: len(x) - width + 1], ahead[width - 1 : len(x)])
 
 
-#: v: least hash of an anchor; p: hash of the piece; again: v occurs twice in the text.
-_PIECE = [("v", np.int64), ("p", np.int64), ("start", np.int64), ("windows", np.int64), ("again", bool)]
 _PIECES = "v long, p long, h1 long, h2 long, start long, windows long, again boolean"
 
 
-def runs(data: np.ndarray, unit: Unit, level: int = 0) -> tuple[np.ndarray, ...]:
-    """The pieces of a sequence of symbols, as columns of _PIECE."""
-    least, anchor, found = unit.least, unit.anchors[level], []
+def runs(parts: list[np.ndarray], unit: Unit, level: int = 0) -> tuple[np.ndarray, ...]:
+    """The pieces of sequences of symbols: part, start, windows, v (least hash of an anchor), p (hash of the piece), again (v occurs twice in the part).
+
+    The sequences are worked on as one; windows across their borders don't count.
+    """
+    least, anchor = unit.least, unit.anchors[level]
     width = least - anchor + 1
-    for at in range(0, len(data) - least + 1, _SEGMENT):
-        part = np.ascontiguousarray(data[at : at + _SEGMENT + least - 1])
-        h = gram_hashes(part, anchor, _SEEDS[level % len(_SEEDS)])
-        low = _sliding(h, width, np.minimum)
-        start = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-        rim = np.zeros(width - 1, np.uint64)
-        anchors = h[_sliding(np.concatenate([rim, low, rim]), width, np.maximum) == h]
-        values, times = np.unique(anchors, return_counts=True)
-        v, windows = low[start], np.diff(np.append(start, len(low)))
-        view, w = memoryview(part.view(np.uint8)), part.itemsize
-        p = [xxhash.xxh3_64_intdigest(view[w * a : w * b]) for a, b in zip(start.tolist(), (start + windows + least - 1).tolist())]
-        found.append((v.view(np.int64), np.array(p, np.uint64).view(np.int64), start + at, windows, times[np.searchsorted(values, v)] > 1))
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else tuple(np.zeros(0, t) for _, t in _PIECE)
+    size = np.array([len(x) for x in parts], np.int64)
+    data = np.concatenate(parts)
+    if len(data) < least:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64, bool))
+    first = np.cumsum(size) - size
+    end = first + np.maximum(size - least + 1, 0)
+    part_of = lambda at: np.searchsorted(first, at, "right") - 1
+    h = gram_hashes(data, anchor, _SEEDS[level % len(_SEEDS)])
+    low = _sliding(h, width, np.minimum)
+    some = end > first
+    edge = np.zeros(len(low) + 1, np.int8)
+    np.add.at(edge, first[some], 1)
+    np.add.at(edge, end[some], -1)
+    inside = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    new = np.append(True, low[1:] != low[:-1])
+    new[first[some]] = True
+    start = np.flatnonzero(new & inside)
+    part, v = part_of(start), low[start]
+    windows = np.minimum(np.append(start[1:], len(data)), end[part]) - start
+    # an anchor is the least of some window
+    low[~inside] = 0
+    rim = np.zeros(width - 1, np.uint64)
+    at = np.flatnonzero(_sliding(np.concatenate([rim, low, rim]), width, np.maximum) == h)
+    own = lambda value, k: value + (k.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
+    values, times = np.unique(own(h[at], part_of(at)), return_counts=True)
+    again = times[np.searchsorted(values, own(v, part))] > 1
+    view, w = memoryview(data.view(np.uint8)), data.itemsize
+    p = [xxhash.xxh3_64_intdigest(view[w * a : w * b]) for a, b in zip(start.tolist(), (start + windows + least - 1).tolist())]
+    return part, start - first[part], windows, v.view(np.int64), np.array(p, np.uint64).view(np.int64), again
 
 
 def _find_pieces(unit: Unit, level: int):
     """Pieces of whole texts; of the windows from start on where these are given (as arrays)."""
 
+    def found(df: pd.DataFrame, parts: list[np.ndarray], owner: list[int], begin: list[int]) -> pd.DataFrame:
+        part, start, windows, v, p, again = runs(parts, unit, level)
+        at = np.array(owner)[part]
+        return pd.DataFrame({"v": v, "p": p, "h1": df["h1"].to_numpy()[at], "h2": df["h2"].to_numpy()[at], "start": start + np.array(begin)[part], "windows": windows, "again": again})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            parts, owner = [], []
+            parts, owner, begin, held = [], [], [], 0
             for k, text in enumerate(df["text"]):
                 data = unit.of(text)
-                spots = zip(df["start"].iloc[k].tolist(), df["windows"].iloc[k].tolist()) if level else [(0, len(data))]
-                for start, windows in spots:
-                    v, p, at, n, again = runs(data[start : start + windows + unit.least - 1], unit, level)
-                    parts.append((v, p, at + start, n, again))
-                    owner.append((k, len(v)))
-            if not parts:
-                continue
-            columns = {name: np.concatenate(x) for (name, _), x in zip(_PIECE, zip(*parts))}
-            at = np.repeat(*np.array(owner, np.int64).T)
-            yield pd.DataFrame(columns | {h: df[h].to_numpy()[at] for h in ("h1", "h2")})
+                spots = zip(df["start"].iloc[k].tolist(), df["windows"].iloc[k].tolist()) if level else [(0, len(data) - unit.least + 1)]
+                for first, windows in spots:
+                    for at in range(first, first + windows, _SEGMENT):
+                        parts.append(data[at : min(at + _SEGMENT, first + windows) + unit.least - 1])
+                        owner.append(k)
+                        begin.append(at)
+                        held += len(parts[-1])
+                        if held >= _FEW:
+                            yield found(df, parts, owner, begin)
+                            parts, owner, begin, held = [], [], [], 0
+            if parts:
+                yield found(df, parts, owner, begin)
 
     return run
 
