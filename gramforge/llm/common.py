@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.order import met, shared_cut, shared_dir, stored  # noqa: F401
+
 #: The white space between words: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -49,53 +48,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            return jvm_dir.get()
-        folder = tempfile.mkdtemp(prefix="gramforge-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut through reliable checkpoint files in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again (columnar and compressed, for wide or long rows)."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gramforge-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-#: Rows of one key that a task may get at least, and the share of all rows beyond which a key's rows are spread.
-SPREAD_ROWS = 50_000
-SPREAD_SHARE = 500
-
-
-def met(rows: DataFrame, info: DataFrame, keys: list[str], how: str = "inner", least: int = SPREAD_ROWS) -> DataFrame:
-    """rows with the columns of info, which has one row a key and n, the key's rows in rows (or a bound of them).
-
-    A key that holds more than a SPREAD_SHARE-th of all rows is spread over several tasks: its
-    row of info is repeated for each. Fewer than SPREAD_SHARE keys are, so their names are broadcast.
-    info is read three times and should be cut from its lineage.
-    """
-    total, most = info.agg(F.sum("n"), F.max("n")).first()
-    fair = max(least, (total or 0) // SPREAD_SHARE)
-    other = info.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in info.columns if c not in keys))
-    on = lambda side: [rows[k] == side[f"_{k}"] for k in keys]
-    names = [*rows.columns, *(c for c in info.columns if c not in keys)]
-    if (most or 0) <= fair:
-        return rows.join(other, on(other), how).select(*names)
-    parts = F.ceil(F.col("n") / fair).cast("int")
-    hot = info.filter(F.col("n") > fair).select(*(F.col(k).alias(f"_{k}") for k in keys), parts.alias("__salts"))
-    own = rows.join(F.broadcast(hot), on(hot), "left").select(*rows.columns, F.coalesce(F.floor(F.rand(11) * F.col("__salts")).cast("int"), F.lit(0)).alias("__own"))
-    other = other.withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return own.join(other, [*(own[k] == other[f"_{k}"] for k in keys), own["__own"] == other["__salt"]], how).select(*names)
+    return shared_cut(df)

@@ -1,17 +1,17 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 The features of a text are the distinct n-grams of its lower-case characters, hashed into
-2**BUCKET_BITS buckets. On a bounded sample of labelled rows, each bucket
+2**BUCKET_BITS buckets. On a sample of at most FIT_ROWS labelled rows, each bucket
 gets its log-count ratio r = log((p / |p|) / (q / |q|)), p and q being smoothed document
 counts in the two classes; a logistic regression is trained on the features scaled
-by r, and its weights times r are interpolated with their mean magnitude. Of the
-buckets, the FEATURES with the clearest ratios are kept, so the model is bounded and
-goes to the executors whole. Every text is scored whole.
+by r. Of the buckets, the FEATURES with the clearest ratios are kept, so the model is bounded and
+goes to the executors whole. One task counts the sample's texts as they stream by; then each text is
+reduced to the kept buckets where it is, and one task fits on these. Every text is scored whole.
 
 Defined cases: null and empty texts have the blank as only character and get the score that
 the intercept gives; without labels of both classes every score is the smoothed share of the toxic rows;
-several label rows of a document count as toxic if one does; labels with nulls are
-ignored; a null doc_id counts as held out; repeated rows are scored each; extra columns are ignored.
+several label rows of a document count as toxic if one does, and of several texts of one doc_id
+that with the least hash is learned; labels with nulls are ignored; a null doc_id counts as held out; repeated rows are scored each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,16 +25,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .common import stored
+
 ORDERS = (4, 6, 8)
 BUCKET_BITS = 22
 #: Labelled rows that the classifier is fitted on at most, those with the smallest hashes of doc_id.
 FIT_ROWS = 6000
-FEATURES = 30_000
+FEATURES = 20_000
 SMOOTHING = 0.5
-RIDGE = 2.0
-BLEND = 0.9
+RIDGE = 100.0
 #: Weight of a toxic row in training; they are the few.
-TOXIC_WEIGHT = 4.0
+TOXIC_WEIGHT = 16.0
 FOLDS = 5
 _SPACES = {k: " " for k in (*range(9, 14), 32)}
 
@@ -76,33 +77,54 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(sums + self.intercept, -30, 30)))
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> Model:
-    """The classifier of so many texts, in memory."""
+@dataclass
+class Counts:
+    """Texts of each class, and those of them with each bucket."""
+
+    toxic: int
+    clean: int
+    p: np.ndarray
+    q: np.ndarray
+
+    @classmethod
+    def empty(cls) -> Counts:
+        return cls(0, 0, *(np.zeros(1 << BUCKET_BITS, np.int32) for _ in range(2)))
+
+    def add(self, text: str | None, toxic: bool) -> None:
+        (self.p if toxic else self.q)[np.unique(buckets(text))] += 1
+        self.toxic, self.clean = self.toxic + toxic, self.clean + (not toxic)
+
+    def ratios(self) -> np.ndarray:
+        return np.log((self.p + SMOOTHING) / (self.toxic + 2 * SMOOTHING)) - np.log((self.q + SMOOTHING) / (self.clean + 2 * SMOOTHING))
+
+    def chosen(self) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets with the clearest ratios in order, and their ratios; none without both classes."""
+        if not self.toxic or not self.clean:
+            return np.zeros(0, np.int64), np.zeros(0)
+        df, r = self.p + self.q, self.ratios()
+        worth = np.where(df >= min(4, self.toxic), np.abs(r) * np.sqrt(df), 0)
+        keep = np.sort(np.argsort(-worth, kind="stable")[: min(FEATURES, int((worth > 0).sum()))])
+        return keep, r[keep]
+
+
+def kept(texts, keep: np.ndarray) -> list[np.ndarray]:
+    """For each text the places in keep of its buckets."""
+    place = np.full(1 << BUCKET_BITS, -1, np.int32)
+    place[keep] = np.arange(len(keep))
+    rows = (place[np.unique(buckets(t))] for t in texts)
+    return [x[x >= 0] for x in rows]
+
+
+def solve(rows: list[np.ndarray], toxic: np.ndarray, keep: np.ndarray, scale: np.ndarray) -> Model:
+    """The logistic regression of so many texts on the kept buckets, scaled."""
     y = np.asarray(toxic, np.float64)
     n, pos = len(y), float(y.sum())
-    none = Model(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log((pos + 0.5) / (n - pos + 1.5))))
-    if not 0 < pos < n:
-        return none
-    found = [np.unique(buckets(t)) for t in texts]
-    p, q = (np.zeros(1 << BUCKET_BITS, np.float32) for _ in range(2))
-    for b, label in zip(found, y):
-        (p if label else q)[b] += 1
-    df = p + q
-    r = np.log((p + SMOOTHING) / (pos + 2 * SMOOTHING)) - np.log((q + SMOOTHING) / (n - pos + 2 * SMOOTHING))
-    worth = np.where(df >= min(4, pos), np.abs(r) * np.sqrt(df), 0)
-    keep = np.argsort(-worth, kind="stable")[: min(FEATURES, int((worth > 0).sum()))]
+    b = float(np.log((pos + 0.5) / (n - pos + 1.5)))
     if not len(keep):
-        return none
-    keep = np.sort(keep)
-    place = np.full(1 << BUCKET_BITS, -1, np.int32)
-    place[keep] = np.arange(len(keep))
-    rows = [x[x >= 0] for x in (place[b] for b in found)]
-    del found, p, q, worth
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), b)
     col = np.concatenate(rows)
     row = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in rows])
-    scale = r[keep].astype(np.float64)
-    value = scale[col]
-    w, b = np.zeros(len(keep)), none.intercept
+    value, w = scale[col], np.zeros(len(keep))
     share = np.where(y > 0, TOXIC_WEIGHT, 1.0)
     # full-batch Adam on the ridge-penalised log loss
     m1, m2 = np.zeros(len(keep) + 1), np.zeros(len(keep) + 1)
@@ -113,37 +135,57 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad * grad
         step = 0.02 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
-    w = BLEND * w + (1 - BLEND) * np.abs(w).mean()
-    # the blend moves every score; the intercept is fitted anew
-    z0 = np.bincount(row, value * w[col], n)
-    for _ in range(50):
-        s = 1 / (1 + np.exp(-np.clip(z0 + b, -30, 30)))
-        b -= (share * (s - y)).sum() / max((share * s * (1 - s)).sum(), 1e-6) * 0.5
     return Model(keep, (w * scale).astype(np.float32), float(b))
 
 
+def fit(texts: list[str], toxic: np.ndarray) -> Model:
+    """The classifier of so many texts, in memory."""
+    counts = Counts.empty()
+    for text, label in zip(texts, toxic):
+        counts.add(text, bool(label))
+    keep, scale = counts.chosen()
+    return solve(kept(texts, keep), toxic, keep, scale)
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Fits on the labelled rows that aren't held out; docs needs doc_id and text, labels doc_id and toxic.
+    """Fits on at most rows labelled rows that aren't held out; docs needs doc_id and text, labels doc_id and toxic.
 
-    The sample of ids is bounded by rows, hence broadcast; one executor task
-    gets its texts; one row with the model comes back.
+    The sample's ids are bounded, hence broadcast, and its texts are stored; one row with the model comes back.
     """
     known = labels.select(F.col("doc_id").alias("_id"), "toxic").dropna().filter(~held_out(F.col("_id")))
     known = known.groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic").repartition(1).sortWithinPartitions("doc_id", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text"))).alias("one")
+    chosen = stored(found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), one).select("doc_id", "one.text", (F.col("toxic") > 0).alias("toxic")))
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = Counts.empty()
+        for df in batches:
+            for text, toxic in zip(df["text"], df["toxic"].tolist()):
+                counts.add(text, toxic)
+        keep, scale = counts.chosen()
+        yield pd.DataFrame({"b": [keep.astype("<i8").tobytes()], "w": [scale.astype("<f8").tobytes()]})
+
+    got = chosen.select("text", "toxic").coalesce(1).mapInPandas(counted, "b binary, w binary").first()
+    if got is None:
+        return fit([], np.zeros(0))
+    keep, scale = np.frombuffer(bytes(got["b"]), "<i8"), np.frombuffer(bytes(got["w"]), "<f8")
+
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            yield pd.DataFrame({"doc_id": df["doc_id"], "toxic": df["toxic"], "x": [x.tolist() for x in kept(df["text"], keep)]})
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texts: list[str] = []
-        toxic: list[int] = []
+        hits: list[np.ndarray] = []
+        toxic: list[bool] = []
         for df in batches:
-            # a doc_id that repeats without bound must not grow the sample
-            df = df[: max(0, 2 * rows - len(texts))]
-            texts += list(df["text"])
-            toxic += list(df["toxic"])
-        m = fit(texts, np.array(toxic, np.float64) > 0)
+            hits += [np.asarray(x, np.int64) for x in df["x"]]
+            toxic += df["toxic"].tolist()
+        m = solve(hits, np.array(toxic, np.float64), keep, scale)
         yield pd.DataFrame({"b": [m.bucket.astype("<i8").tobytes()], "w": [m.weight.astype("<f4").tobytes()], "c": [m.intercept]})
 
-    got = chosen.mapInPandas(fitted, "b binary, w binary, c double").first()
+    features = chosen.mapInPandas(reduced, "doc_id long, toxic boolean, x array<int>").repartition(1).sortWithinPartitions("doc_id")
+    got = features.mapInPandas(fitted, "b binary, w binary, c double").first()
     if got is None:
         return fit([], np.zeros(0))
     return Model(np.frombuffer(bytes(got["b"]), "<i8"), np.frombuffer(bytes(got["w"]), "<f4"), got["c"])

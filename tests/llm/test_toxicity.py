@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -47,3 +48,46 @@ def test_cases(spark, cases, labels):
     assert next(r for r in out if r.doc_id is None).held_out
     assert len({r.score for r in out if r.doc_id in (0, 1, 2)}) == 1
     assert toxicity.score(cases.limit(0), toxicity.train(cases, frame)).count() == 0
+
+
+def slow_buckets(text):
+    """The distinct buckets of a text, n-gram by n-gram with plain numbers."""
+    text = " " + (text or "").lower().translate({k: " " for k in (*range(9, 14), 32)}) + " "
+    out, low = set(), (1 << 32) - 1
+    for n in toxicity.ORDERS:
+        for k in range(len(text) - n + 1):
+            h = 0
+            for c in text[k : k + n]:
+                h = (h * 0x01000193 + ord(c)) & low
+            x = ((h ^ h >> 15) * 0x2C1B3C6D + n) & low
+            out.add(((x ^ x >> 12) * 0x297A2D39 & low) >> (32 - toxicity.BUCKET_BITS))
+    return out
+
+
+def test_ratios_and_scores_equal_a_slow_count(spark):
+    rows = corpus(150) + [(900, None, 0), (901, "", 1), (902, "É 漢字 " * 40, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.drop("toxic"), df.select("doc_id", "toxic"))
+    learned = [(slow_buckets(t), y) for d, t, y in rows if zlib.crc32(str(d).encode()) % 5]
+    counts = toxicity.Counts.empty()
+    for d, t, y in rows:
+        if zlib.crc32(str(d).encode()) % 5:
+            counts.add(t, bool(y))
+    pos, neg = sum(y for _, y in learned), sum(1 - y for _, y in learned)
+    r = counts.ratios()
+    for b in model.bucket[:: max(1, len(model.bucket) // 200)].tolist():
+        p, q = (sum(b in x for x, y in learned if y == k) for k in (1, 0))
+        assert abs(r[b] - math.log((p + 0.5) / (pos + 1) / ((q + 0.5) / (neg + 1)))) < 1e-9
+    weight = dict(zip(model.bucket.tolist(), model.weight.tolist()))
+    want = {d: 1 / (1 + math.exp(-model.intercept - sum(weight.get(b, 0.0) for b in slow_buckets(t)))) for d, t, _ in rows}
+    got = {x.doc_id: x.score for x in toxicity.score(df.drop("toxic"), model).collect()}
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-6 for d in want)
+
+
+def test_sample_is_bounded(spark):
+    """A doc_id that repeats counts once, whatever its number of rows."""
+    rows = [(1, f"text {k}") for k in range(500)] + [(k, f"vilequon {k}" if k % 2 else f"fine {k}") for k in range(2, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    model = toxicity.train(df, labels, 20)
+    assert toxicity.score(df, model).count() == len(rows)
