@@ -7,7 +7,10 @@ signatures, the share of equal places, estimates the Jaccard similarity of the s
 
 ``report`` also fingerprints each text edited with the beginning of the next
 document. Documents are dealt by ranges of doc_id into buckets, each with a copy of the
-next bucket's first document, so every text moves once and no task orders them all.
+next bucket's first document, so every text moves once and no task orders them all. A task
+sees its bucket as a sorted stream and holds two documents at a time.
+
+``nearcopies`` joins the bands of the signatures and verifies what meets on the shingles.
 
 Defined cases: a null text counts as empty; a text without words has the empty
 fingerprint of zeros, alike to itself alone; with fewer than five words all words form the one shingle;
@@ -25,16 +28,15 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType
-
+from pyspark.sql.types import IntegerType
 
 SHINGLE = 5
 PERMUTATIONS = 64
 #: Bands of four places each; two texts of similarity 0.8 share one with a probability above 0.999.
 BANDS = 16
-THRESHOLD = 0.8
 BUCKET_ROWS = 2048
-MAX_BUCKETS = 1 << 14
+#: Buckets at most, as their bounds and first documents go through the driver; beyond, buckets get longer, and no task holds one.
+MAX_BUCKETS = 1 << 16
 _BLOCK = 1024
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -129,37 +131,3 @@ def report(docs: DataFrame) -> DataFrame:
     placed = placed.withColumn("_p", F.explode(F.when(F.col("_h") >= 0, F.array(place(F.col("_b"), 0), place(F.col("_h"), 1))).otherwise(F.array(place(F.col("_b"), 0)))))
     dealt = placed.select("doc_id", "text", "id", "_p.bucket", "_p.halo").repartition("bucket").sortWithinPartitions("bucket", "halo", "id", "text")
     return dealt.select("doc_id", "text", "bucket", "halo").mapInPandas(_rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
-
-@F.pandas_udf(StringType())
-def signature_text(texts: pd.Series) -> pd.Series:
-    return pd.Series([as_text(signature(t)) for t in texts])
-
-
-def shingles(text: str) -> set[bytes]:
-    words = text.encode().split()
-    return {b" ".join(words[k : k + SHINGLE]) for k in range(max(1, len(words) - SHINGLE + 1))} if words else set()
-
-
-@F.pandas_udf(DoubleType())
-def jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
-    pairs = ((shingles(a), shingles(b)) for a, b in zip(left, right))
-    return pd.Series([len(x & y) / len(x | y) if x | y else 1.0 for x, y in pairs], dtype="float64")
-
-
-def _banded(docs: DataFrame, name: str) -> DataFrame:
-    size = 4 * PERMUTATIONS // BANDS
-    rows = docs.filter("text IS NOT NULL").select(F.col("doc_id").alias(name), signature_text("text").alias("_s"))
-    return rows.select(name, F.posexplode(F.array(*(F.substring("_s", k * size + 1, size) for k in range(BANDS)))).alias("band", "value"))
-
-
-def near(queries: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(query_id, doc_id, similarity) of the documents whose shingles have a Jaccard similarity of threshold with a query's.
-
-    queries is a stated set with doc_id and text. Signatures meet by equal bands; what meets is
-    verified on the shingles themselves. Texts without words are alike; null texts match none.
-    """
-    met = _banded(queries, "query_id").join(_banded(docs, "doc_id"), ["band", "value"]).select("query_id", "doc_id").distinct()
-    asked = queries.select(F.col("doc_id").alias("query_id"), F.col("text").alias("_a"))
-    rows = met.join(asked, "query_id").join(docs.select("doc_id", F.col("text").alias("_b")), "doc_id")
-    return rows.select("query_id", "doc_id", jaccard("_a", "_b").alias("similarity")).filter(F.col("similarity") >= threshold)

@@ -116,19 +116,21 @@ def mix(placed: DataFrame, slots: DataFrame, block: int) -> DataFrame:
 
 
 def taken(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """docs (with doc_id, source, size) and source_size, target, taken: the words that the mix takes from each document."""
+    """docs (with doc_id, source, size) and source_size, target, taken: the words that the mix takes from each document; columns of these names are replaced."""
+    names = [c for c in docs.columns if c not in ("source_size", "target", "taken")]
+    docs = carried(docs, "doc_id", "source", "size", *(c for c in ("_k1", "_k2") if c in docs.columns))
     sums = cut(_keyed(docs, seed).groupBy("source", "_b").agg(F.sum("size").alias("size")))
     targets = cut(source_targets(sums))
     total = int(targets.agg(F.sum("source_size")).first()[0] or 0)
-    placed = offsets(docs, targets, seed, sums)
+    placed, own = offsets(docs, targets, seed, sums), [F.col(f"_doc.`{c}`").alias(c) for c in names]
     if not total:
-        return placed.select(*docs.columns, "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        return placed.select(*own, "source_size", "target", F.lit(0).cast("long").alias("taken"))
     block = block_words(total)
     slots = cut(schedule(targets, -(-total // block)))
     words = mix(placed.select("sid", "start", "size", "source_size"), slots, block).groupBy("sid", "start").agg(F.sum("words").alias("taken"))
     words = words.select(F.col("sid").alias("_sid"), F.col("start").alias("_start"), "taken")
     on = (F.col("sid") == F.col("_sid")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0)
-    return placed.join(words, on, "left").select(*docs.columns, "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return placed.join(words, on, "left").select(*own, "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:

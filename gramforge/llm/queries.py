@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, packing, quality, sharding, simhash, suffix_dedup, tokencount, toxicity, urlfilter
+from . import minhash, mixing, nearcopies, packing, quality, sharding, simhash, suffix_dedup, tokencount, toxicity, urlfilter
 from .common import cut, documents
 
 
@@ -42,6 +42,11 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(documents(spark, sf_dir))
 
 
+def minhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of operator 6: bands joined and verified, over all documents; a row a document with its class."""
+    return nearcopies.report(documents(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(documents(spark, sf_dir), tokenizer("word_bpe_49k.json")))
 
@@ -68,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sharding": op4_sharding,
         "op5_simhash": op5_simhash,
         "op6_minhash": op6_minhash,
+        "minhash_near_copies": minhash_near_copies,
         "op7_packing": op7_packing,
         "op8_mixing": op8_mixing,
         "op9_url_filters": op9_url_filters,

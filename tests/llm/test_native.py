@@ -129,6 +129,9 @@ def test_mixing(spark, cases):
 
 def test_mixing_cases(cases):
     names = cases.columns
+    own = cases.select("doc_id", "source", F.lit(3).alias("size"), F.lit("h").alias("_h"), F.lit("b").alias("_b"), F.lit("i").alias("sid"), F.lit("s").alias("start"), F.lit("t").alias("_own"))
+    rows = mixing.taken(own).collect()
+    assert len(rows) == cases.count() and all((r["_h"], r["_b"], r["sid"], r["start"], r["_own"]) == ("h", "b", "i", "s", "t") for r in rows)
     out = mixing.taken(mixing.sized(cases.select("doc_id", "text", "source")).select("doc_id", "source", "size"))
     assert out.count() == cases.count()
     assert mixing.mixed_documents(cases).columns == names

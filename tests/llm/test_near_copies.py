@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gramforge.llm import graph, minhash, simhash
+from gramforge.llm import graph, minhash, nearcopies, simhash
 
 
 def brute_print(text):
@@ -122,14 +122,48 @@ def test_minhash(cases, monkeypatch, size):
     assert minhash.report(cases.filter("doc_id = 5")).first().near_next == 1.0
 
 
-def test_minhash_search(cases):
-    rows = cases.filter("doc_id <> 20").dropDuplicates(["doc_id"]).filter("doc_id IS NOT NULL")
-    got = {(r.query_id, r.doc_id) for r in minhash.near(rows.filter("doc_id % 2 = 1"), rows).collect()}
-    texts = {r.doc_id: r.text for r in rows.collect() if r.text is not None}
+def slow_signature(text):
+    """The signature with plain numbers, one hash function after another."""
+    words = (text or "").encode().split()
+    if not words:
+        return "0" * 256
+    found = [b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
+    codes = [xxhash.xxh32_intdigest(s) for s in found]
+    least = [min((a * x + b) % (1 << 64) for x in codes) for a, b in zip(minhash._A.tolist(), minhash._B.tolist())]
+    return "".join(f"{(v >> 32) & 0xFFFF:04x}" for v in least)
+
+
+def test_fingerprints_equal_plain_numbers(cases):
+    rows = [(r.doc_id, r.text or "") for r in cases.collect()]
+    want = {(d, hashlib.sha256(e.encode()).hexdigest()): (slow_signature(t), slow_signature(e), slow_signature(f)) for d, t, e, f in brute_edits(rows)}
+    for r in minhash.report(cases).collect():
+        own, changed, following = want[r.doc_id, r.edited_sha256]
+        places = lambda s: [s[k : k + 4] for k in range(0, 256, 4)]
+        like = lambda a, b: float(a == b) if "0" * 256 in (a, b) else sum(x == y for x, y in zip(places(a), places(b))) / 64
+        assert (r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) == (own, changed, like(own, changed), like(own, following))
+
+
+def test_near_copies_of_a_whole_table(spark):
+    """Against all pairs by exact similarity: at least 0.9 of the links are within a class, and no class joins what no links join."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r.component_id for r in nearcopies.report(docs).collect()}
+    texts = {r.doc_id: nearcopies.shingles(r.text) for r in docs.collect()}
+    root = {d: d for d in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = [(a, b) for a in texts for b in texts if a < b and texts[a] | texts[b] and len(texts[a] & texts[b]) >= 0.8 * len(texts[a] | texts[b])]
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    assert sum(got[a] == got[b] for a, b in links) >= 0.9 * len(links) > 0
+    assert all(find(d) == find(c) for d, c in got.items())
 
-    def similar(a, b):
-        x, y = minhash.shingles(a), minhash.shingles(b)
-        return not x | y or len(x & y) >= 0.8 * len(x | y)
 
-    want = {(a, b) for a in texts for b in texts if a % 2 == 1 and similar(texts[a], texts[b])}
-    assert got <= want and len(got) >= 0.95 * len(want)
+def test_near_copies_cases(cases):
+    out = nearcopies.report(cases).collect()
+    assert len(out) == cases.filter("doc_id IS NOT NULL").count() and all(r.component_id <= r.doc_id for r in out)
+    assert nearcopies.report(cases.limit(0)).count() == 0
