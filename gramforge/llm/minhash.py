@@ -55,7 +55,11 @@ def shingle_hashes(text: str | None) -> np.ndarray:
 
 def signature(text: str | None) -> np.ndarray | None:
     """PERMUTATIONS values of 16 bits; None for a text without words."""
-    x = shingle_hashes(text)
+    return least_values(shingle_hashes(text))
+
+
+def least_values(x: np.ndarray) -> np.ndarray | None:
+    """The signature of a text with such shingle hashes."""
     if not len(x):
         return None
     least = np.full(PERMUTATIONS, ~np.uint64(0))

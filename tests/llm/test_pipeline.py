@@ -65,3 +65,40 @@ def test_near_dedup_takes_what_shares_shingles(spark, monkeypatch):
         monkeypatch.setattr(nearcopies, "SMALL", small)
         kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
         assert kept == set(root)
+
+
+def test_parity_sketches_lose_no_similar_pair(spark):
+    import numpy as np
+    from common_cases import passage
+
+    texts = []
+    for s in range(700, 712):
+        words = passage(s, 40 + 60 * (s % 4)).split()
+        texts.append(" ".join(words))
+        for k in range(1, 9):
+            texts.append(" ".join(w if r % (len(words) // k) else f"{w}{s}x{k}" for r, w in enumerate(words)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", nearcopies._sketch("text").alias("s"))
+    rows = sorted(df.collect())
+    odd, members = np.frombuffer(b"".join(bytes(r.s.odd) for r in rows), np.uint64).reshape(len(rows), -1), np.array([r.s.members for r in rows])
+    sets = [nearcopies.shingles(t) for t in texts]
+    i, j = np.triu_indices(len(texts), 1)
+    near = np.array([len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in zip(i, j)])
+    through = nearcopies.possible(odd, members, i, j)
+    assert near.sum() > 10 and through[near].all() and through.sum() < 4 * near.sum() + 60
+
+
+def test_template_below_the_threshold_gives_few_pairs(spark):
+    """Texts that differ from each other in two of sixty words: no two reach 0.8, none is lost, and no pairs are verified in number."""
+    from common_cases import passage
+
+    base = passage(800, 60).split()
+    texts = [" ".join(w if k not in (a, b) else f"new{a}x{b}x{k}" for k, w in enumerate(base)) for a in range(2, 30, 3) for b in range(30, 59)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [nearcopies.shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for x in range(len(texts)):
+        for y in range(x):
+            if root[x] != root[y] and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+                a, b = sorted((root[x], root[y]))
+                root = [a if z == b else z for z in root]
+    assert {r.doc_id for r in nearcopies.keep_one(docs).collect()} == set(root)
