@@ -2,10 +2,10 @@
 
 The directory is indexed by leading bits of a document's hash. A bucket whose
 bytes exceed the limit splits on its next bit, and only such a bucket; its
-shard is the leaf that is reached. Rather than one pass for each bit, a round sums
-the bytes of the open buckets at STEP more bits (a map-side combined aggregate,
-never a collected group) and settles all splits between. Rounds go on, over
-the oversized buckets alone, until none is left.
+shard is the leaf that is reached. Rather than one pass for each bit, the first round sums
+the bytes of buckets that are a quarter to an eighth of the limit on average (a map-side combined
+aggregate, never a collected group) and settles all splits down to them; so its rows grow with the
+number of shards. Further rounds, of STEP bits each, go on over the oversized buckets alone.
 
 Defined cases: a null text has 0 bytes; a null doc_id hashes as an empty string;
 a document larger than the limit gets a shard alone; rows that repeat one hash
@@ -18,10 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import carried, cut, met, restored
+from .common import carried, cut, met, restored, stored
 
 BITS = 60
-STEP = 12
+STEP = 6
 LIMIT = 128 << 10
 #: Rows of one repeated hash that are sorted together to be cut into parts.
 PART_ROWS = 50_000
@@ -38,9 +38,10 @@ def directory(keys: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     A leaf is over the limit only where all its rows share one hash.
     """
-    leaves, parents = None, None
-    for top in range(0, BITS, STEP):
-        deep = min(BITS, top + STEP)
+    leaves, parents, top = None, None, 0
+    total = keys.agg(F.sum("bytes")).first()[0] or 0
+    deep = min(BITS, max(1, (total // limit).bit_length() + 2))
+    while True:
         part = lambda d: F.shiftright("h", BITS - d)
         open_keys = keys
         if parents is not None:
@@ -58,8 +59,8 @@ def directory(keys: DataFrame, limit: int = LIMIT) -> DataFrame:
         leaves = found if leaves is None else leaves.unionByName(found)
         parents = cut(reached.filter(F.col("over") & (F.col("depth") == deep)).select("prefix"))
         if deep == BITS or parents.isEmpty():
-            break
-    return leaves
+            return leaves
+        top, deep = deep, min(BITS, deep + STEP)
 
 
 def assign(keys: DataFrame, leaves: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -96,7 +97,7 @@ def assign(keys: DataFrame, leaves: DataFrame, limit: int = LIMIT) -> DataFrame:
 def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """docs with h, bytes, shard, depth, part and shard_bytes, which replace columns of these names; every shard's bytes are within limit unless it is a single document."""
     keys = hashed(docs)
-    return assign(keys, directory(keys.select("h", "bytes"), limit), limit)
+    return assign(keys, directory(stored(keys.select("h", "bytes")), limit), limit)
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
