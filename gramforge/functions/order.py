@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, DateType, NumericType, StringType, StructType, TimestampNTZType, TimestampType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,11 +56,23 @@ SPREAD_ROWS = 50_000
 SPREAD_SHARE = 500
 
 
+def _row_hash(df: DataFrame) -> Column:
+    """A hash of a row's plain values and of those in its structs.
+
+    The same on every run of a task, unlike a random number or a row's place in its partition, so a task
+    that is run again after an executor's loss sends each row where it went before.
+    """
+    plain = lambda f: isinstance(f.dataType, (NumericType, StringType, BinaryType, BooleanType, DateType, TimestampType, TimestampNTZType))
+    names = [f"`{f.name}`" for f in df.schema if plain(f)]
+    names += [f"`{f.name}`.`{g.name}`" for f in df.schema if isinstance(f.dataType, StructType) for g in f.dataType if plain(g)]
+    return F.xxhash64(*map(F.col, names))
+
+
 def met(rows: DataFrame, info: DataFrame, keys: list[str], how: str = "inner", least: int = SPREAD_ROWS) -> DataFrame:
     """rows with the columns of info, which has one row a key and n, the key's rows in rows (or a bound of them).
 
-    A key that holds more than a SPREAD_SHARE-th of all rows is spread over several tasks: its
-    row of info is repeated for each. Fewer than SPREAD_SHARE keys are, so their names are broadcast.
+    A key that holds more than a SPREAD_SHARE-th of all rows is spread over several tasks by its rows' hashes
+    (rows that are equal in all plain values stay together): its row of info is repeated for each. Fewer than SPREAD_SHARE keys are, so their names are broadcast.
     info is read three times and should be cut from its lineage.
     """
     total, most = info.agg(F.sum("n"), F.max("n")).first()
@@ -71,6 +84,6 @@ def met(rows: DataFrame, info: DataFrame, keys: list[str], how: str = "inner", l
         return rows.join(other, on(other), how).select(*names)
     parts = F.ceil(F.col("n") / fair).cast("int")
     hot = info.filter(F.col("n") > fair).select(*(F.col(k).alias(f"_{k}") for k in keys), parts.alias("__salts"))
-    own = rows.join(F.broadcast(hot), on(hot), "left").select(*rows.columns, F.coalesce(F.floor(F.rand(11) * F.col("__salts")).cast("int"), F.lit(0)).alias("__own"))
+    own = rows.withColumn("__hash", _row_hash(rows)).join(F.broadcast(hot), on(hot), "left").select(*rows.columns, F.coalesce(F.pmod("__hash", "__salts").cast("int"), F.lit(0)).alias("__own"))
     other = other.withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1)))
     return own.join(other, [*(own[k] == other[f"_{k}"] for k in keys), own["__own"] == other["__salt"]], how).select(*names)
