@@ -80,8 +80,13 @@ def assign(keys: DataFrame, leaves: DataFrame, limit: int = LIMIT) -> DataFrame:
     placed = placed.withColumn("shard", bits).withColumn("_whole", (F.col("_all") <= limit))
     fit = placed.filter("_whole").withColumn("part", F.lit(0).cast("long")).withColumn("shard_bytes", F.col("_all"))
     # leaves of one repeated hash: sizes in order, next-fit by sum, in runs of bounded length; only these rows are sorted
+    # and their runs are stored, as rows of another run of a task would be numbered anew
+    names = [*keys.columns, "shard", "depth", "part", "shard_bytes"]
+    if leaves.filter(F.col("bytes") > limit).isEmpty():
+        return fit.select(*names)
     runs = F.ceil(F.col("n") / PART_ROWS)
     rest = placed.filter("NOT _whole").withColumn("_run", F.pmod(F.monotonically_increasing_id(), runs))
+    rest = stored(rest)
     own = Window.partitionBy("h", "_run")
     order = own.orderBy("bytes")
     most = F.max("bytes").over(own)
@@ -90,7 +95,6 @@ def assign(keys: DataFrame, leaves: DataFrame, limit: int = LIMIT) -> DataFrame:
     local = F.when(most >= limit, F.row_number().over(order).cast("long") - 1).otherwise(F.floor((upto - F.col("bytes")) / room))
     rest = rest.withColumn("part", F.shiftleft(F.col("_run"), 32) + local)
     rest = rest.withColumn("shard_bytes", F.sum("bytes").over(Window.partitionBy("h", "part")))
-    names = [*keys.columns, "shard", "depth", "part", "shard_bytes"]
     return fit.select(*names).unionByName(rest.select(*names))
 
 
