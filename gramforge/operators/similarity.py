@@ -48,7 +48,7 @@ def common_grams(a: str, b: str, q: int) -> int:
     return int(np.minimum(np.bincount(number[: len(hx)], minlength=size), np.bincount(number[len(hx) :], minlength=size)).sum())
 
 
-def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, q: int) -> DataFrame:
+def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, q: int) -> DataFrame:
     """id1, id2, o (the overlap) and the rest of the candidate pairs."""
 
     @F.pandas_udf(LongType())
@@ -81,6 +81,17 @@ def _prefix_tables(left: DataFrame, right: DataFrame, q: int, first: Callable[[i
     return b if left is right and not keep else stored(rare_prefixes(left, q, counts, first, *keep)), b
 
 
+def jaccard_candidates(a: DataFrame, b: DataFrame, near: Column, theta: Column, *keep: str) -> DataFrame:
+    """id1, id2, n1, n2 and keep of the pairs of two stored prefix tables whose overlap may reach theta."""
+    n1, n2 = F.col("n1"), F.col("n2")
+    met = _meeting(a, b, near)
+    # grams shared up to the last place are all in both prefixes; those after it are as many as the shorter rest
+    rest = lambda f: F.least(n1 - 1 - f("pos1"), n2 - 1 - f("pos2"))
+    pairs = met.groupBy("id1", "id2", "n1", "n2", *keep).agg(F.count(F.lit(1)).alias("_c"), rest(F.min).alias("_first"), rest(F.max).alias("_last"))
+    need = overlap_bound(n1, n2, theta)
+    return pairs.filter((F.col("_first") + 1 >= need) & (F.col("_c") + F.col("_last") >= need)).select("id1", "id2", "n1", "n2", *keep)
+
+
 def jaccard_pairs(left: DataFrame, right: DataFrame, q: int, theta: float | None = None, self_join: bool = False, strategy: str = "prefix") -> DataFrame:
     """(id1, id2, sim) with sim >= theta for (id, s) on both sides; left may have a threshold of its own for each row.
 
@@ -116,13 +127,8 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, q: int, theta: float | None
     else:
         some = lambda n, t: n - math.ceil(t * n - 1e-8) + 1
         a, b = _prefix_tables(left, right, q, (lambda n, t: some(n, t)) if own else (lambda n, _: some(n, theta)), lambda n, _: some(n, theta), *keep)
-        met = _meeting(a, b, near)
-        # grams shared up to the last place are all in both prefixes; those after it are as many as the shorter rest
-        rest = lambda f: F.least(n1 - 1 - f("pos1"), n2 - 1 - f("pos2"))
-        pairs = met.groupBy("id1", "id2", "n1", "n2", *keep).agg(F.count(F.lit(1)).alias("_c"), rest(F.min).alias("_first"), rest(F.max).alias("_last"))
-        need = overlap_bound(n1, n2, limit())
-        pairs = pairs.filter((F.col("_first") + 1 >= need) & (F.col("_c") + F.col("_last") >= need)).select("id1", "id2", "n1", "n2", *keep)
-        found = _verified(pairs, left, right, q)
+        pairs = jaccard_candidates(a, b, near, limit(), *keep)
+        found = verified(pairs, left, right, q)
     return found.withColumn("sim", jaccard(F.col("o"), n1, n2)).filter(F.col("sim") >= limit()).select("id1", "id2", "sim")
 
 
@@ -185,6 +191,13 @@ def _short_pairs(left: DataFrame, right: DataFrame, tau: int) -> DataFrame:
     return by_segment.unionByName(reach.join(tiny, "len").select("id1", "id2"))
 
 
+def ed_candidates(a: DataFrame, b: DataFrame, left: DataFrame, right: DataFrame, q: int, tau: int) -> DataFrame:
+    """id1, id2 of the pairs that share a gram of two stored prefix tables, and of short strings that share a segment."""
+    pairs = _meeting(a, b, F.abs(F.col("n1") - F.col("n2")) <= tau).select("id1", "id2")
+    short = F.length("s") <= q * tau + q - 1
+    return pairs.unionByName(_short_pairs(left.filter(short), right.filter(short), tau))
+
+
 def ed_pairs(left: DataFrame, right: DataFrame, q: int, tau: int, self_join: bool = False, strategy: str = "prefix") -> DataFrame:
     """(id1, id2, dist) with an edit distance of tau or less for (id, s) on both sides; self_join keeps id1 < id2.
 
@@ -201,9 +214,7 @@ def ed_pairs(left: DataFrame, right: DataFrame, q: int, tau: int, self_join: boo
     else:
         few = lambda n, _: q * tau + 1
         a, b = _prefix_tables(left, right, q, few, few)
-        pairs = _meeting(a, b, F.abs(F.col("n1") - F.col("n2")) <= tau).select("id1", "id2")
-        short = F.length("s") <= q * tau + q - 1
-        pairs = pairs.unionByName(_short_pairs(left.filter(short), right.filter(short), tau))
+        pairs = ed_candidates(a, b, left, right, q, tau)
         pairs = (pairs.filter("id1 < id2") if self_join else pairs).distinct()
         rows = pairs.join(s1, "id1").join(s2, "id2")
     rows = rows.filter("id1 < id2") if self_join else rows

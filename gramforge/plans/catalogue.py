@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strings as S
 from ..functions.order import shared_dir
-from ..operators import extraction, grams, infix, similarity, spatial
+from ..operators import extraction, grams, index, infix, similarity, spatial
 from ..sources import files
 from . import service
 
@@ -82,6 +82,17 @@ def ed_search_brute(spark, d):
     return similarity.ed_search(_asked(names), S.representatives(names).select("id", "s"), 2, 3, "brute")
 
 
+def index_search(spark, d):
+    """Both kinds of search, each asked of one stored index."""
+    path = f"{shared_dir(spark)}/gramforge-{uuid.uuid4().hex}"
+    names = _names(spark, d)
+    index.build(S.representatives(names).select("id", "s"), 2, path, 0.6, 3)
+    known = index.GramIndex.load(spark, path)
+    by_sim = known.jaccard_search(_asked(names, 0.6)).select("query_id", "id", F.lit("jaccard").alias("metric"), F.col("sim").alias("score"))
+    by_dist = known.ed_search(_asked(names), 3).select("query_id", "id", F.lit("ed").alias("metric"), F.col("dist").cast("double").alias("score"))
+    return by_sim.unionByName(by_dist)
+
+
 def t_occurrence(spark, d):
     names = _names(spark, d)
     return similarity.t_occurrence(_asked(names, 0.6), S.representatives(names).select("id", "s"), 2)
@@ -296,7 +307,7 @@ def extract_lines(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        jaccard_search, jaccard_search_brute, ed_search, ed_search_brute, t_occurrence, jaccard_join, jaccard_join_count, jaccard_membership, ed_join, ed_join_two, ed_join_short,
+        jaccard_search, jaccard_search_brute, ed_search, ed_search_brute, index_search, t_occurrence, jaccard_join, jaccard_join_count, jaccard_membership, ed_join, ed_join_two, ed_join_short,
         gram_df, gram_order, prefix_index, qgrams, string_functions, byte_distance, entity_segments, entity_extract_ed, entity_extract_ed_names, entity_extract_jaccard, entity_extract_jaccard_names,
         range_query, knn, knn_keyword, knn_batch, mbr_build, mbr_point_dist, mbr_intersect, infix_search, autocomplete, suffix_array, lcp_array, json_scan, place_service, json_reply,
         text_scan, pair_scan, query_scan, place_scan, request_scan, search_lines, join_lines, extract_lines,
@@ -361,6 +372,7 @@ v AS (SELECT part.*, CAST(coalesce(o, 0) AS INTEGER) AS overlap, levenshtein(p_n
         "jaccard_search_brute": _jaccard_sql(_PQ, _PR, 2, 0.6),
         "ed_search": _ed_sql(f"{customers} WHERE c_custkey % {EVERY} = 0", customers, 1),
         "ed_search_brute": _ed_sql(_PQ, _PR, 3),
+        "index_search": f"SELECT query_id, id, 'jaccard' AS metric, sim AS score FROM ({_jaccard_sql(_PQ, _PR, 2, 0.6)}) UNION ALL SELECT query_id, id, 'ed', CAST(dist AS DOUBLE) FROM ({_ed_sql(_PQ, _PR, 3)})",
         "t_occurrence": f"""WITH {_grams_sql('a', _PQ, 2)}, {_grams_sql('b', _PR, 2)}, g AS (SELECT min(n) AS least FROM b_n),
 o AS (SELECT a.id AS query_id, b.id, sum(least(a.c, b.c)) AS cnt FROM a JOIN b ON a.gram = b.gram GROUP BY 1, 2)
 SELECT query_id, o.id, CAST(cnt AS BIGINT) AS cnt FROM o JOIN a_n ON a_n.id = query_id, g WHERE cnt >= ceil(greatest(0.6::DOUBLE * n, (n + least) * 0.6::DOUBLE / 1.6::DOUBLE) - 1e-8::DOUBLE)""",

@@ -98,3 +98,24 @@ def test_byte_distance_takes_whole_texts(spark, sf_dir):
     texts = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     got = {r.item_id: (r.n_bytes, r.dist) for r in catalogue.byte_distance(spark, sf_dir).collect()}
     assert got == {k: (len(t.encode()), ed(t.encode(), t[::-1].encode())) for k, t in texts.items()}
+
+
+def test_stored_index_gives_what_searches_give(spark, tmp_path):
+    from gramforge.operators import index
+
+    data, asked = [*words(11, 60), None, ""], [*words(12, 15), None]
+    index.build(frame(spark, data), 2, str(tmp_path / "a"), 0.3, 2)
+    known = index.GramIndex.load(spark, str(tmp_path / "a"))
+    for step in (0.05, 0.0):
+        q = spark.createDataFrame([(i, s, 0.3 + step * (i % 10)) for i, s in enumerate(asked)], "query_id long, query string, threshold double")
+        got = {(r.query_id, r.id, r.sim) for r in known.jaccard_search(q).collect()}
+        assert got == {tuple(r) for r in sim.jaccard_search(q, frame(spark, data), 2, "brute").collect()} and got
+    for tau in (0, 1, 2):
+        assert {tuple(r) for r in known.ed_search(q, tau).collect()} == {tuple(r) for r in sim.ed_search(q, frame(spark, data), 2, tau, "brute").collect()}
+    with pytest.raises(ValueError):
+        known.ed_search(q, 3)
+    with pytest.raises(ValueError):
+        known.jaccard_search(q.withColumn("threshold", F.lit(0.2)))
+    none = index.build(frame(spark, data).limit(0), 2, str(tmp_path / "b"))
+    assert none.jaccard_search(q.withColumn("threshold", F.lit(0.5))).isEmpty() and none.ed_search(q, 1).isEmpty()
+    assert known.jaccard_search(q.limit(0)).isEmpty()
