@@ -23,11 +23,11 @@ from ..functions.strings import jaccard
 from .grams import FREQUENCY_BITS, bucket_counts, rare_prefixes
 from .similarity import ed_candidates, jaccard_candidates, verified
 
-#: Folders that the grams are dealt to.
-SLOTS = 256
+#: Folders that the grams are dealt to, unless build is told otherwise; more of them let a small search read less of a large index.
+SLOTS = 32
 
 
-def build(data: DataFrame, q: int, path: str, theta: float = 0.5, tau: int = 2) -> GramIndex:
+def build(data: DataFrame, q: int, path: str, theta: float = 0.5, tau: int = 2, slots: int = SLOTS) -> GramIndex:
     """Writes an index of (id, s) under path, for Jaccard thresholds from theta on and edit distances up to tau; path must not exist."""
     if not 0 < theta <= 1 or tau < 0:
         raise ValueError("theta above 0, at most 1; tau from 0 on")
@@ -36,9 +36,9 @@ def build(data: DataFrame, q: int, path: str, theta: float = 0.5, tau: int = 2)
     strings = spark.read.parquet(f"{path}/strings")
     counts = bucket_counts(strings, q)
     hit = np.flatnonzero(counts)
-    spark.createDataFrame([(q, float(theta), tau, hit.astype(np.int32).tobytes(), counts[hit].tobytes())], "q int, theta double, tau int, buckets binary, counts binary").coalesce(1).write.parquet(f"{path}/order")
+    spark.createDataFrame([(q, float(theta), tau, slots, hit.astype(np.int32).tobytes(), counts[hit].tobytes())], "q int, theta double, tau int, slots int, buckets binary, counts binary").coalesce(1).write.parquet(f"{path}/order")
     some = lambda n, _: max(n - math.ceil(theta * n - 1e-8) + 1, q * tau + 1)
-    grams = rare_prefixes(strings, q, counts, some).withColumn("slot", F.pmod("gram", F.lit(SLOTS)).cast("int"))
+    grams = rare_prefixes(strings, q, counts, some).withColumn("slot", F.pmod("gram", F.lit(slots)).cast("int"))
     # a slot's rows are split over tasks where they are many
     grams.hint("rebalance", "slot").sortWithinPartitions("slot", "gram").write.partitionBy("slot").parquet(f"{path}/grams")
     return GramIndex.load(spark, path)
@@ -52,6 +52,7 @@ class GramIndex:
     q: int
     theta: float
     tau: int
+    slots: int
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> GramIndex:
@@ -61,11 +62,11 @@ class GramIndex:
         known = spark.read.parquet(f"{path}/order").first()
         counts = np.zeros(1 << FREQUENCY_BITS, np.int64)
         counts[np.frombuffer(known["buckets"], np.int32)] = np.frombuffer(known["counts"], np.int64)
-        return cls(strings, grams, counts, known["q"], known["theta"], known["tau"])
+        return cls(strings, grams, counts, known["q"], known["theta"], known["tau"], known["slots"])
 
     def _near(self, asked: DataFrame, most) -> DataFrame:
         """The stored grams in the slots of asked, of prefixes whose length most gives."""
-        slots = [r[0] for r in asked.select(F.pmod("gram", F.lit(SLOTS)).cast("int")).distinct().collect()]  # SLOTS values at most
+        slots = [r[0] for r in asked.select(F.pmod("gram", F.lit(self.slots)).cast("int")).distinct().collect()]  # self.slots values at most
         return self.grams.filter(F.col("slot").isin(slots) & (F.col("pos") < most)).select("id", "n", "gram", "pos")
 
     def jaccard_search(self, queries: DataFrame) -> DataFrame:
