@@ -66,26 +66,28 @@ def directory(keys: DataFrame, limit: int = LIMIT) -> DataFrame:
 def assign(keys: DataFrame, leaves: DataFrame, limit: int = LIMIT) -> DataFrame:
     """keys with shard (the leaf's bits as a string, "root" for no bits), depth, part and shard_bytes.
 
-    A document meets its leaf by an equi-join on (depth, prefix): it is tried at
-    the depths that the directory has, of which exactly one matches.
+    A hash meets its leaf by an equi-join on (depth, prefix): it is tried at the depths that the directory
+    has, of which exactly one matches. Only hashes are tried, each once; keys meet what was found for theirs,
+    so no other column is repeated for the depths.
     """
+    keys = keys.drop("shard", "depth", "part", "shard_bytes")
     depths = [r[0] for r in leaves.select("depth").distinct().collect()]  # 61 values at most
     if not depths:
         return keys.withColumns({"shard": F.lit(""), "depth": F.lit(0), "part": F.lit(0).cast("long"), "shard_bytes": F.lit(0).cast("long")})
     tries = F.array(*(F.struct(F.lit(d).alias("_d"), F.shiftright("h", BITS - d).alias("_p")) for d in sorted(depths)))
-    tried = keys.withColumn("_t", F.explode(tries)).select(*keys.columns, "_t._d", "_t._p")
+    hashes = keys.groupBy("h").agg(F.count(F.lit(1)).alias("_n"))
+    tried = hashes.withColumn("_t", F.explode(tries)).select("h", "_n", "_t._d", "_t._p")
     there = leaves.select(F.col("depth").alias("_d"), F.col("prefix").alias("_p"), F.col("depth").alias("depth"), F.col("prefix").alias("_q"), F.col("bytes").alias("_all"), F.col("docs").alias("n"))
-    placed = met(tried, there, ["_d", "_p"])
     bits = F.when(F.col("depth") == 0, F.lit("root")).otherwise(F.expr("lpad(bin(_q), depth, '0')"))
-    placed = placed.withColumn("shard", bits).withColumn("_whole", (F.col("_all") <= limit))
-    fit = placed.filter("_whole").withColumn("part", F.lit(0).cast("long")).withColumn("shard_bytes", F.col("_all"))
+    homes = stored(met(tried, there, ["_d", "_p"]).select("h", F.col("_n").alias("n"), "_all", bits.alias("shard"), "depth"))
+    fit = met(keys, homes, ["h"]).filter(F.col("_all") <= limit).withColumn("part", F.lit(0).cast("long")).withColumn("shard_bytes", F.col("_all"))
     # leaves of one repeated hash: sizes in order, next-fit by sum, in runs of bounded length; only these rows are sorted
     # and their runs are stored, as rows of another run of a task would be numbered anew
     names = [*keys.columns, "shard", "depth", "part", "shard_bytes"]
     if leaves.filter(F.col("bytes") > limit).isEmpty():
         return fit.select(*names)
     runs = F.ceil(F.col("n") / PART_ROWS)
-    rest = placed.filter("NOT _whole").withColumn("_run", F.pmod(F.monotonically_increasing_id(), runs))
+    rest = met(keys, stored(homes.filter(F.col("_all") > limit)), ["h"]).withColumn("_run", F.pmod(F.monotonically_increasing_id(), runs))
     rest = stored(rest)
     own = Window.partitionBy("h", "_run")
     order = own.orderBy("bytes")
@@ -98,6 +100,12 @@ def assign(keys: DataFrame, leaves: DataFrame, limit: int = LIMIT) -> DataFrame:
     return fit.select(*names).unionByName(rest.select(*names))
 
 
+def places(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """doc_id, h, bytes, shard, depth, part and shard_bytes of docs; texts are read once, for their sizes, and go no further."""
+    keys = stored(hashed(docs).select("doc_id", "h", "bytes"))
+    return assign(keys, directory(keys, limit), limit)
+
+
 def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """docs with h, bytes, shard, depth, part and shard_bytes, which replace columns of these names; every shard's bytes are within limit unless it is a single document."""
     keys = hashed(docs)

@@ -1,3 +1,4 @@
+import hashlib
 import json
 from collections import defaultdict
 
@@ -37,6 +38,34 @@ def test_one_hash_in_most_rows(spark, monkeypatch, tmp_path):
     sharding.write_shards(df.limit(0), str(tmp_path / "b"), 1000)
 
 
+def test_sharding_moves_no_text_for_each_depth(spark, tmp_path):
+    """With one text beyond the limit, and joins that shuffle: the query shuffles no text, the operator each a few times at most."""
+    text = lambda k, n: "".join(hashlib.sha256(f"{k} {i}".encode()).hexdigest() for i in range(n // 64))
+    rows = [(k, text(k, 6400)) for k in range(300)] + [(300, text(300, 2 * sharding.LIMIT))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet")).withColumn("shard", F.lit("own"))
+    sc, name = spark.sparkContext._jsc.sc(), "spark.sql.autoBroadcastJoinThreshold"
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        at = shuffled()
+        got = queries.op4_sharding(spark, str(tmp_path)).collect()
+        size, narrow, at = sum(len(t) for _, t in rows), shuffled() - at, shuffled()
+        assert narrow < size / 4, narrow
+        wide = sharding.shard(docs, 20_000).collect()
+        moved = shuffled() - at
+    finally:
+        spark.conf.set(name, before)
+    assert moved < 3 * size, moved
+    assert sorted((r.doc_id, r.bytes) for r in got) == [(k, len(t)) for k, t in rows] and [r.doc_id for r in got if r.shard_bytes > sharding.LIMIT] == [300]
+    assert sorted((r.doc_id, r.text) for r in wide) == rows and wide[0].asDict().keys() >= {"h", "bytes", "depth", "part"} and all(r.shard != "own" for r in wide)
+
+
 @pytest.mark.parametrize("name", ["op4_sharding", "op9_url_filters", "op10_quality"])
 def test_equals_sql(spark, sf_dir, name):
     df = queries.queries()[name](spark, sf_dir)
