@@ -2,8 +2,8 @@
 
 ``build`` writes, for strings (id, s), the rarest grams of each with their places in the rare-first order, as far as
 the smallest threshold needs them, dealt to folders by the gram's hash; the counts that define the
-order; and the strings. A search reads the folders that its queries' grams fall into, cuts the prefixes to its own
-threshold, and goes on as the joins in ``similarity`` do, so its rows are the same.
+order; the distinct strings; and every row's representative among them. A search reads the folders that its queries' grams fall into, cuts the prefixes to its own
+threshold, and goes on as the joins in ``similarity`` do; what it finds is given for every row, so its rows are the same.
 
 Defined cases: null strings are left out of the index and null queries find nothing; an empty table gives an index
 that finds nothing; a threshold beyond what the index was built for is an error.
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.order import stored
-from ..functions.strings import jaccard
+from ..functions.strings import every_row, jaccard, membership, representatives
 from .grams import FREQUENCY_BITS, bucket_counts, rare_prefixes
 from .similarity import ed_candidates, jaccard_candidates, verified
 
@@ -32,7 +32,8 @@ def build(data: DataFrame, q: int, path: str, theta: float = 0.5, tau: int = 2,
     if not 0 < theta <= 1 or tau < 0:
         raise ValueError("theta above 0, at most 1; tau from 0 on")
     spark = data.sparkSession
-    data.select("id", "s").filter("s IS NOT NULL").write.parquet(f"{path}/strings")
+    representatives(data).select("id", "s").write.parquet(f"{path}/strings")
+    membership(data).write.parquet(f"{path}/rows")
     strings = spark.read.parquet(f"{path}/strings")
     counts = bucket_counts(strings, q)
     hit = np.flatnonzero(counts)
@@ -47,6 +48,7 @@ def build(data: DataFrame, q: int, path: str, theta: float = 0.5, tau: int = 2,
 @dataclass(frozen=True)
 class GramIndex:
     strings: DataFrame
+    rows: DataFrame
     grams: DataFrame
     counts: np.ndarray
     q: int
@@ -62,7 +64,7 @@ class GramIndex:
         known = spark.read.parquet(f"{path}/order").first()
         counts = np.zeros(1 << FREQUENCY_BITS, np.int64)
         counts[np.frombuffer(known["buckets"], np.int32)] = np.frombuffer(known["counts"], np.int64)
-        return cls(strings, grams, counts, known["q"], known["theta"], known["tau"], known["slots"])
+        return cls(strings, spark.read.parquet(f"{path}/rows"), grams, counts, known["q"], known["theta"], known["tau"], known["slots"])
 
     def _near(self, asked: DataFrame, most) -> DataFrame:
         """The stored grams in the slots of asked, of prefixes whose length most gives."""
@@ -81,7 +83,7 @@ class GramIndex:
         n1, n2, limit = F.col("n1"), F.col("n2"), F.col("threshold")
         pairs = jaccard_candidates(a, b, (n2 >= limit * n1) & (n1 >= limit * n2), limit, "threshold")
         found = verified(pairs, left, self.strings, self.q).withColumn("sim", jaccard(F.col("o"), n1, n2))
-        return found.filter(F.col("sim") >= limit).select(F.col("id1").alias("query_id"), F.col("id2").alias("id"), "sim")
+        return every_row(found.filter(F.col("sim") >= limit).select(F.col("id1").alias("query_id"), F.col("id2").alias("id"), "sim"), self.rows)
 
     def ed_search(self, queries: DataFrame, tau: int) -> DataFrame:
         """(query_id, id, dist) for queries (query_id, query)."""
@@ -92,4 +94,4 @@ class GramIndex:
         a = stored(rare_prefixes(left, self.q, self.counts, lambda n, _: few))
         pairs = ed_candidates(a, self._near(a, F.lit(few)), left, self.strings, self.q, tau).distinct()
         rows = pairs.join(left.select(F.col("id").alias("id1"), F.col("s").alias("s1")), "id1").join(self.strings.select(F.col("id").alias("id2"), F.col("s").alias("s2")), "id2")
-        return rows.withColumn("dist", F.levenshtein("s1", "s2", tau)).filter("dist >= 0").select(F.col("id1").alias("query_id"), F.col("id2").alias("id"), "dist")
+        return every_row(rows.withColumn("dist", F.levenshtein("s1", "s2", tau)).filter("dist >= 0").select(F.col("id1").alias("query_id"), F.col("id2").alias("id"), "dist"), self.rows)

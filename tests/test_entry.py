@@ -34,6 +34,15 @@ def test_query_equals_sql(spark, sf_dir, db, name):
     assert key(tuple(r[c] for c in names) for r in df.collect()) == key(tuple(r[i] for i in at) for r in want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["jaccard_search_brute", "ed_search_brute", "index_search", "t_occurrence", "search_lines"])
+def test_searches_name_every_row(spark, sf_dir, db, name):
+    """A query finds all rows that have its own string, not one of them alone."""
+    df = catalogue.queries()[name](spark, sf_dir)
+    found = {(r.query_id, r[1] if name == "search_lines" else r.id) for r in df.collect()}
+    own = db.sql("select a.p_partkey, b.p_partkey from part a join part b on a.p_name = b.p_name where a.p_partkey % 50 = 0").fetchall()
+    assert len(own) > len({q for q, _ in own}) and set(own) <= found
+
+
 def test_oracles_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
