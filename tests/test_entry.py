@@ -43,6 +43,24 @@ def test_searches_name_every_row(spark, sf_dir, db, name):
     assert len(own) > len({q for q, _ in own}) and set(own) <= found
 
 
+@pytest.mark.parametrize("name, left, right", [("ed_join_two", "name", "type"), ("ed_join", "url", "url"), ("join_lines", "name", "name"), ("jaccard_join_count", "name", "name")])
+def test_joins_lose_no_row_of_a_copy(spark, sf_dir, db, name, left, right):
+    """Pairs of representatives, with each side's membership, are the pairs of rows."""
+    column = {"name": ("part", "p_partkey", "p_name"), "type": ("part", "p_partkey", "p_type"), "url": ("pages", "page_id", "url")}
+    member = lambda c: {r.id: r.rep for r in catalogue.queries()[f"{c}_membership"](spark, sf_dir).collect()}
+    a, b = member(left), member(right)
+    for c, m in ((left, a), (right, b)):
+        table, key, value = column[c]
+        assert set(m.items()) == set(db.sql(f"select x.{key}, min(y.{key}) from {table} x join {table} y on x.{value} = y.{value} group by 1").fetchall())
+    pairs = {(r.id1, r.id2) for r in catalogue.queries()[name](spark, sf_dir).collect()}
+    assert all(a[x] == x and b[y] == y for x, y in pairs)
+    if name in ("ed_join_two", "join_lines"):
+        (t, k, v), (u, l, w) = column[left], column[right]
+        want = db.sql(f"select x.{k}, y.{l} from {t} x, {u} y where levenshtein(x.{v}, y.{w}) <= {7 if left != right else 3}" + (f" and x.{v} <> y.{w}" if left == right else "")).fetchall()
+        either = pairs if left != right else pairs | {(y, x) for x, y in pairs}
+        assert {(x, y) for x in a for y in b if (a[x], b[y]) in either} == set(want)
+
+
 def test_oracles_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
