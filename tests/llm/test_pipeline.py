@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -67,6 +69,19 @@ def test_near_dedup_takes_what_shares_shingles(spark, monkeypatch):
         assert kept == set(root)
 
 
+def test_repeated_lines_keep_no_near_copies_apart(spark):
+    """Texts of one large group with the same shingles, of which each repeats others: all pairs reach the threshold and are given."""
+    rnd = random.Random(3)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+    texts = [" ".join(words + words[5 * k : 5 * k + 5] * 150) for k in range(24)]
+    sets = [nearcopies.shingles(t) for t in texts]
+    assert all(len(a & b) / len(a | b) >= nearcopies.THRESHOLD for a in sets for b in sets)
+    rows = spark.createDataFrame(list(enumerate(texts)), "t long, text string").select("t", nearcopies._sketch("text").alias("s"))
+    rows = rows.select(F.lit(1).cast("long").alias("k"), "t", "s.fp", F.col("t").alias("root"), "s.odd", "s.members")
+    got = {tuple(sorted(r)) for r in nearcopies._grouped(rows).mapInPandas(nearcopies._second, "u long, v long").collect()}
+    assert got == {(a, b) for b in range(24) for a in range(b)}
+
+
 def test_parity_sketches_lose_no_similar_pair(spark):
     import numpy as np
     from common_cases import passage
