@@ -50,6 +50,32 @@ def test_ed_pairs(spark, strategy, q, tau):
     assert got == {(i, j, ed(x, y)) for i, x in enumerate(a) for j, y in enumerate(b) if ed(x, y) <= tau}
 
 
+@pytest.mark.parametrize("tau", [0, 1])
+def test_ed_pairs_on_both_sides_of_the_deletion_limit(spark, monkeypatch, tau):
+    monkeypatch.setattr(sim, "DELETION_CHARS", 6)
+    a, b = [*words(15, 40), "", "é", None], [*words(16, 40), "", "e", "aaaaaaa", None]
+    got = [(r.id1, r.id2, r.dist) for r in sim.ed_pairs(frame(spark, a), frame(spark, b), 3, tau).collect()]
+    assert sorted(got) == sorted((i, j, ed(x, y)) for i, x in enumerate(a) for j, y in enumerate(b) if x is not None and y is not None and ed(x, y) <= tau)
+
+
+def test_names_that_count_meet_few_others(spark, monkeypatch):
+    """Every gram of such names is common; by deletions a name meets those within two edits alone, and no grams are counted."""
+    monkeypatch.setattr(sim, "bucket_counts", None)
+    data = frame(spark, [f"Customer#{i:09d}" for i in range(2000)])
+    asked = data.filter("id % 50 = 0")
+    assert sim._deletion_pairs(asked, data, 1).distinct().count() < 5 * sim.ed_pairs(asked, data, 3, 1).count()
+    assert {r.id2 for r in sim.ed_pairs(asked.filter("id = 50"), data, 3, 1).collect()} == {50, 1050, *range(50, 1000, 100), *range(0, 100, 10), *range(50, 60)}
+
+
+def test_ed_search_names_every_row_of_copies(spark, tmp_path):
+    from gramforge.plans import catalogue
+
+    names = [(i, f"Customer#{i % 60:09d}") for i in range(120)] + [(200, None), (201, "")]
+    spark.createDataFrame(names, "c_custkey long, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    got = sorted((r.query_id, r.id, r.dist) for r in catalogue.ed_search(spark, str(tmp_path)).collect())
+    assert got == sorted((i, j, ed(x, y)) for i, x in names if i % 50 == 0 and x is not None for j, y in names if y is not None and ed(x, y) <= 1)
+
+
 def test_ed_hand_cases(spark):
     one = lambda a, b, q, tau: [r.dist for r in sim.ed_pairs(frame(spark, [a]), frame(spark, [b]), q, tau).collect()]
     assert one("a", "b", 3, 1) == [1]
