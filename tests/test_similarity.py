@@ -26,6 +26,30 @@ def test_jaccard_pairs(spark, strategy, q, theta):
     assert got == want
 
 
+def near_copies(seed, n):
+    """Distinct strings of all sizes in groups of near copies, some of repeated letters."""
+    r, out = random.Random(seed), {"", "a", "éé", "a" * 300, "a" * 310, "ab" * 200}
+    for size in (5, 9, 20, 60, 127, 131, 400, 1300):
+        for _ in range(n):
+            s = "".join(r.choice("abcdefgh ") for _ in range(size))
+            for _ in range(4):
+                t = list(s)
+                for _ in range(r.randint(0, size // 100 + 1)):
+                    t[r.randrange(len(t))] = r.choice("xyz")
+                out.add("".join(t)[: r.randint(size * 4 // 5, size)])
+    return sorted(out)
+
+
+@pytest.mark.parametrize("q,theta", [(3, 0.8), (8, 0.8), (2, 0.9)])
+def test_parts_lose_no_pair(spark, q, theta):
+    from gramforge.operators import parts
+
+    strings = near_copies(21, 4)
+    got = [(r.id1, r.id2, r.sim) for r in parts.near_pairs(frame(spark, strings), q, theta).collect()]
+    want = [(i, j, jaccard(x, y, q)) for i, x in enumerate(strings) for j, y in enumerate(strings) if i < j and jaccard(x, y, q) >= theta]
+    assert sorted(got) == want and len(want) > 20
+
+
 def test_jaccard_hand_cases(spark):
     one = lambda a, b, q, theta: [r.sim for r in sim.jaccard_pairs(frame(spark, [a]), frame(spark, [b]), q, theta).collect()]
     assert one("aaaa", "aa", 2, 0.1) == [1 / 3]
