@@ -50,6 +50,23 @@ def test_parts_lose_no_pair(spark, q, theta):
     assert sorted(got) == want and len(want) > 20
 
 
+def test_jaccard_join_links_every_copy(spark, tmp_path):
+    """Each row that is a copy is linked to the smallest id of its text, which has the links to other texts."""
+    from gramforge.plans import catalogue
+
+    texts = [*near_copies(22, 1), None]
+    rows = [(i, texts[i % len(texts)]) for i in range(2 * len(texts) + 5)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r.id1, r.id2) for r in catalogue.jaccard_join(spark, str(tmp_path)).collect()]
+    rep, link = {i: i % len(texts) for i, s in rows}, set(got)
+    assert len(link) == len(got)
+    for i, x in rows:
+        for j, y in rows[i + 1 :]:
+            if x is not None and y is not None and jaccard(x, y, 8) >= 0.8:
+                a, b = sorted((rep[i], rep[j]))
+                assert (a == b or (a, b) in link) and all(k == rep[k] or (rep[k], k) in link for k in (i, j))
+
+
 def test_jaccard_hand_cases(spark):
     one = lambda a, b, q, theta: [r.sim for r in sim.jaccard_pairs(frame(spark, [a]), frame(spark, [b]), q, theta).collect()]
     assert one("aaaa", "aa", 2, 0.1) == [1 / 3]
